@@ -37,8 +37,9 @@ def _lite(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("row", "id", "n", F.unhex(F.md5("norm")).alias("h"), F.sha2("norm", 256).alias("sha"), "norm")
 
 
-#: Orders the rows of a group: the greatest one stays.
-_RANK = F.struct("n", (-F.col("id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
+def _rank() -> Column:
+    """Orders the rows of a group: the greatest one stays."""
+    return F.struct("n", (-F.col("id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
 
 
 def _collisions(lite: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _grouped(lite: DataFrame) -> DataFrame:
-    best = F.max(_RANK).alias("best")
+    best = F.max(_rank()).alias("best")
     return lite.groupBy("h", "apart").agg(best, F.count(F.lit(1)).alias("size")).select("h", "apart", (-F.col("best.neg_id")).alias("keep_id"), (-F.col("best.neg_row")).alias("keep_row"), "size")
 
 
