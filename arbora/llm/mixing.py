@@ -33,6 +33,8 @@ FIT_ROWS = 20_000
 BUCKETS = 1 << 14
 #: Words whose class weights differ by less than this say nothing about a document.
 TELLING = 1.0
+#: Words that each bucket is taken to have been seen with, at the domains' shares.
+PSEUDO = 20
 STEPS = 40
 #: Wanted share of all tokens for each domain.
 TARGETS = {"clean": 0.90, "toxic": 0.05, "poor": 0.05}
@@ -60,11 +62,14 @@ def fitted(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     words = texts.select("domain", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
     counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)])
     counts = written(counts, "word-counts")  # at most BUCKETS rows
-    sums = counts.agg(*[F.sum(f"c{k}") for k in range(len(domains))]).first()
+    sums = [float(x or 0) + 1.0 for x in counts.agg(*[F.sum(f"c{k}") for k in range(len(domains))]).first()]
     sizes = dict(sample.groupBy("domain").count().collect())
     rows = sum(sizes.values())
     prior = [float(np.log((sizes.get(d, 0) + 1) / (rows + len(domains)))) for d in domains]
-    weights = [F.log((F.col(f"c{k}") + 0.5) / float((sums[k] or 0) + 0.5 * BUCKETS)) for k in range(len(domains))]
+    # log ratio of a word's share of a domain to the domain's share of all words, drawn to 0 for rare words
+    share = [x / sum(sums) for x in sums]
+    seen = sum((F.col(f"c{k}") for k in range(len(domains))), F.lit(0)) + float(PSEUDO)
+    weights = [F.log((F.col(f"c{k}") + PSEUDO * share[k]) / seen / share[k]) for k in range(len(domains))]
     model = counts.select("bucket", *[w.alias(f"w{k}") for k, w in enumerate(weights)])
     cols = [F.col(f"w{k}") for k in range(len(domains))]
     return written(model.filter(F.greatest(*cols) - F.least(*cols) >= TELLING), "telling"), prior

@@ -1,0 +1,23 @@
+"""The training-data queries that SQL can express, against DuckDB on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from arbora.llm import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_oracle(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    df = registry.queries()[name](spark, SF)
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
