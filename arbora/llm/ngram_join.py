@@ -6,7 +6,7 @@ A document is the set of its distinct word shingles; two link when
 * Every shingle hash is XORed into one segment of the document's sketch. A
   shingle of the symmetric difference changes one segment at most, so the
   number of differing segments is a lower bound of |A d B|, as is the Hamming
-  distance of the 256-bit parity sketch that each document also carries.
+  distance of the 512-bit parity sketch that each document also carries.
 * Linked sets of a and b shingles differ in at most d = (p-q)(a+b)/(p+q)
   shingles for a threshold of q/p. Sets are dealt into bands of sizes; all
   sketches of a band have m > d segments, so m - d segments at least agree.
@@ -15,7 +15,7 @@ A document is the set of its distinct word shingles; two link when
   pigeonhole principle two linked sets publish a common one. The emptiest
   segments, which unrelated sets share, are not published.
 * Equal sets are one class from the start. A class meets, for every published
-  segment, only the least class with it (the leader); verified links give
+  segment, only its leader (the class that meets most others); verified links give
   components, and only pairs across components are then compared. A group of
   copies thus costs rows in proportion to its size, not pairs, and no link
   between different texts is lost.
@@ -32,13 +32,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import SPACES, components, filtered_by, fits_broadcast, mix, shingle_set, slices, table, word_hashes, written
 
-_SKETCH = "row long, id long, n long, set_id long, p0 long, p1 long, p2 long, p3 long, keys array<long>"
-_ONE = np.uint64(1)
+#: Words of the parity sketch.
+WORDS = 8
+_PARITY = [f"p{i}" for i in range(WORDS)]
+_SKETCH = "row long, id long, n long, set_id long, " + ", ".join(f"{p} long" for p in _PARITY) + ", keys array<long>"
 
 
 class Threshold:
@@ -90,9 +92,9 @@ def _band_keys(h: np.ndarray, band: int, t: Threshold, d: int) -> np.ndarray:
 
 
 def _parity(h: np.ndarray) -> list[int]:
-    """Four words of a sketch in which each shingle flips one of 256 bits."""
-    bits = np.bitwise_xor.reduce(np.where(((h >> np.uint64(6)) & np.uint64(3))[None, :] == np.arange(4, dtype=np.uint64)[:, None], (_ONE << (h & np.uint64(63)))[None, :], np.uint64(0)), axis=1)
-    return bits.astype(np.uint64).view(np.int64).tolist()
+    """The words of a sketch in which each shingle flips one of 64 * WORDS bits."""
+    counts = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 def _sets(texts, width: int):
@@ -118,17 +120,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, t: Thresho
                 n.append(len(h))
                 if not len(h):
                     ids.append(None)
-                    parity.append((None,) * 4)
+                    parity.append((None,) * WORDS)
                     keys.append(None)
                     continue
                 ids.append(x := _set_id(h))
                 parity.append(_parity(h))
                 keys.append(None if x in seen else _published(h, t).view(np.int64))
                 seen.add(x)
-            cols = list(zip(*parity, strict=True)) if parity else [()] * 4
+            cols = list(zip(*parity, strict=True)) if parity else [()] * WORDS
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in cols], pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "id", "n", "set_id", "p0", "p1", "p2", "p3", "keys"],
+                names=["row", "id", "n", "set_id", *_PARITY, "keys"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -150,6 +152,16 @@ def _shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set_id long, shingles array<long>")
 
 
+_BOUNDS = ["n", *_PARITY]
+
+
+def may_link(a: str, b: str, t: Threshold) -> Column:
+    """Whether sizes and parity sketches (columns a_n, a_p0 .., b_n, ..) leave a link possible."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    hamming = sum((F.bit_count(F.col(f"{a}_p{i}").bitwiseXOR(F.col(f"{b}_p{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}_p0").bitwiseXOR(F.col(f"{b}_p0"))))
+    return (F.least(n, m) * t.den >= F.greatest(n, m) * t.num) & (hamming * (t.den + t.num) <= (n + m) * (t.den - t.num))
+
+
 class _Verifier:
     """Checks candidate pairs of set ids on the whole sets."""
 
@@ -159,15 +171,8 @@ class _Verifier:
     def __call__(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(pairs that the sketch bound left, links among them), both written."""
         t = self.t
-        side = lambda x: self.classes.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "p0", "p1", "p2", "p3")])
-        total = F.col("a_n") + F.col("b_n")
-        hamming = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(1, 4)), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
-        left = (
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(f"{t.den} * least(a_n, b_n) >= {t.num} * greatest(a_n, b_n)")
-            .filter(hamming * (t.den + t.num) <= total * (t.den - t.num))
-            .select("a", "b", "a_n", "b_n")
-        )
+        side = lambda x: self.classes.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _BOUNDS])
+        left = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("a", "b", t)).select("a", "b", "a_n", "b_n")
         left = written(left, f"{name}-candidates")
         # one row of the corpus for each set that takes part
         wanted = left.select(F.col("a").alias("set_id")).unionByName(left.select(F.col("b").alias("set_id"))).distinct()
@@ -187,18 +192,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = written(sketches(docs, id_col, text_col, width, t), "sketches")
     first = F.min(F.struct("id", "row"))
     classes = written(
-        base.filter("n > 0").groupBy("set_id").agg(first.alias("m"), F.min("row").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")])
-        .select("set_id", F.col("m.id").alias("least"), "rep", "n", "p0", "p1", "p2", "p3"),
+        base.filter("n > 0").groupBy("set_id").agg(first.alias("m"), F.min("row").alias("rep"), *[F.first(c).alias(c) for c in _BOUNDS])
+        .select("set_id", F.col("m.id").alias("least"), "rep", *_BOUNDS),
         "classes",
     )
     published = base.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "set_id")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key")
-    shared = written(
-        published.withColumn("leader", F.min("set_id").over(w)).withColumn("last", F.max("set_id").over(w)).filter("leader <> last").select("key", "set_id", "leader").dropDuplicates(["key", "set_id"]),
-        "shared",
-    )
+    met = published.withColumn("first", F.min("set_id").over(w)).withColumn("last", F.max("set_id").over(w)).withColumn("met", F.count(F.lit(1)).over(w))
+    met = written(met.filter("first <> last").select("key", "set_id", "met").dropDuplicates(["key", "set_id"]), "met")
+    # the leader of a segment is the set that meets most others in all: of a group of near copies, the text they were made from
+    degrees = met.groupBy("set_id").agg(F.sum("met").alias("degree"))
+    leader = F.max(F.struct("degree", "set_id")).over(w)["set_id"].alias("leader")
+    shared = written(met.join(degrees, "set_id").select("key", "set_id", leader), "shared")
     verify = _Verifier(docs, base, classes, id_col, text_col, width, t)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried, links = verify(shared.filter("set_id <> leader").select(*pair("set_id", "leader")).distinct(), "lead")
@@ -208,16 +213,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     led = comp.select(F.col("node").alias("leader"), F.col("comp").alias("led"))
     marked = shared.join(own, "set_id", "left").join(led, "leader", "left").select("key", "set_id", F.coalesce("own", "set_id").alias("own"), F.coalesce("led", "leader").alias("led"))
     marked = written(marked, "marked")
-    out = marked.filter("own <> led").select("key", F.col("set_id").alias("x"), F.col("own").alias("x_own"))
-    rest = marked.select("key", F.col("set_id").alias("y"), F.col("own").alias("y_own"), "led")
-    across = out.join(rest, "key").filter("x_own <> y_own and (y_own = led or x < y)").select(*pair("x", "y")).distinct()
+    # the bounds are part of the join's condition: pairs that cannot link are never rows
+    bounds = lambda x: classes.select("set_id", *[F.col(c).alias(f"{x}_{c}") for c in _BOUNDS])
+    out = marked.filter("own <> led").join(bounds("x"), "set_id").withColumnsRenamed({"set_id": "x", "own": "x_own"}).drop("led")
+    rest = marked.join(out.select("key").distinct(), "key", "left_semi").join(bounds("y"), "set_id").withColumnsRenamed({"set_id": "y", "own": "y_own"})
+    out, rest = written(out, "out-of-lead"), written(rest, "around")
+    crossing = (F.col("x_own") != F.col("y_own")) & ((F.col("y_own") == F.col("led")) | (F.col("x") < F.col("y"))) & may_link("x", "y", t)
+    across = out.join(rest.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & crossing).select(*pair("x", "y")).distinct()
     across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     _, more = verify(across, "cross")
     if more.limit(1).count():
         comp = components(written(links.unionByName(more), "links"))
     # the least doc_id of all sets of a component
     placed = classes.join(comp, classes.set_id == comp.node, "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
-    heads = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    heads = written(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "heads")
     of_set = written(placed.join(heads, "comp").select("set_id", "component_id"), "of-set")
     return base.select("row", "id", "n", "set_id").join(of_set, "set_id", "left").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
@@ -271,7 +280,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
   FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), i -> array_to_string(ws[i:i+3], ' '))) AS g
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i+3], ' '))) AS g
   FROM w WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
