@@ -37,7 +37,7 @@ TELLING = 1.0
 PSEUDO = 20
 STEPS = 40
 #: Wanted share of all tokens for each domain.
-TARGETS = {"clean": 0.90, "toxic": 0.05, "poor": 0.05}
+TARGETS = {"clean": 0.92, "toxic": 0.06, "poor": 0.02}
 
 
 def domain_of_labels() -> Column:
