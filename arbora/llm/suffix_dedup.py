@@ -11,14 +11,20 @@ position in a hundred and loses no repeat:
    end here.
 3. Each other anchor gets its context: up to length - k bytes before it and as
    many after. Contexts are dealt by anchor hash, so that a shard holds all
-   suffixes with the anchor's first k bytes; equal contexts count as one.
+   suffixes with the anchor's first k bytes; equal contexts count as one. The
+   contexts of a hot anchor go to two finer shards each: two occurrences that
+   agree in length - k bytes around the anchor agree in half of them on its
+   right or on its left, so they meet in one of the shards, and a common
+   passage of fewer bytes falls apart into small ones.
+   (Texts meet their anchors, and later their runs, in sort-merge joins at
+   every size.)
 4. In a shard the suffixes are sorted and their common prefixes taken (the
    enhanced suffix array). A stack scan gives its common-prefix intervals. In
    an interval with n common bytes an occurrence is part of a repeat if
    another one extends as far to the left as to make up `length`; where the
-   left extensions of an interval differ, the repeat is maximal. Each
-   occurrence keeps its staircase of (left, right) extents, so every group
-   reports all of its occurrences and not just neighbours.
+   left extensions of an interval differ, the repeat is maximal. Every member
+   of an interval is reported, not just neighbours in the array, with the
+   extent of its repeats to the left and right.
 5. The extents of a row are merged and cut out.
 
 Defined cases: null counts as empty; texts shorter than `length` lose
@@ -38,9 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.llm import decontaminate
 from arbora.llm.common import _powers, fits_broadcast, mix, slices, table, written
 
 LENGTH = 400
+#: Occurrences from which an anchor's suffixes are dealt over finer shards.
+HOT = 1000
 
 
 def _sliding(x: np.ndarray, w: int, of: np.ufunc, pad: int) -> np.ndarray:
@@ -76,59 +85,78 @@ def anchors(data: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def _extents(left: list[bytes], right: list[bytes], k: int, length: int, many: list[bool]) -> list[list[tuple[int, int]]]:
-    """For each distinct context of one anchor the (left, right) extents, in bytes from the anchor's start, of its repeats.
+class _LeftOrder:
+    """Common lengths of the (reversed) left contexts: their order, and range minima over its common prefixes."""
+
+    def __init__(self, left: list[bytes]):
+        n = len(left)
+        order = sorted(range(n), key=left.__getitem__)
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
+        level = np.array([0] + [_common(left[order[i - 1]], left[order[i]]) for i in range(1, n)], np.int32)
+        self.levels = [level]
+        step = 1
+        while 2 * step <= n:
+            level = np.minimum(level[:-step], level[step:])
+            self.levels.append(level)
+            step *= 2
+
+    def neighbours(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """members in the order of their left contexts, and for each the most bytes it shares with another one."""
+        ranks = self.rank[members]
+        order = np.argsort(ranks)
+        ranks = ranks[order]
+        lo, width = ranks[:-1] + 1, ranks[1:] - ranks[:-1]
+        height = np.frexp(width)[1] - 1
+        shared = np.empty(len(width), np.int32)
+        for h in np.unique(height):
+            at = height == h
+            level = self.levels[h]
+            shared[at] = np.minimum(level[lo[at]], level[lo[at] + width[at] - (1 << int(h))])
+        best = np.zeros(len(members), np.int32)
+        best[:-1] = shared
+        best[1:] = np.maximum(best[1:], shared)
+        return members[order], best
+
+
+def _extents(left: list[bytes], right: list[bytes], k: int, length: int, many: list[bool]) -> list[tuple[int, int] | None]:
+    """For each distinct context of one anchor how far its repeats reach, in bytes to the left and right of the anchor's start.
 
     left: bytes before the anchor, reversed; right: bytes after its k bytes;
-    many: whether the context occurs more than once.
+    many: whether the context occurs more than once. The repeats of an
+    occurrence all hold its anchor, so their union is one run.
     """
     n = len(right)
-    out: list[list[tuple[int, int]]] = [[(len(left[i]), k + len(right[i]))] if many[i] and len(left[i]) + k + len(right[i]) >= length else [] for i in range(n)]
-    if n == 1:
-        return out
-    order = sorted(range(n), key=right.__getitem__)  # the suffix array of the shard
-    lcp = [0] * (n + 1)  # lcp[i]: of entries i-1 and i
-    for i in range(1, n):
-        lcp[i] = _common(right[order[i - 1]], right[order[i]])
-
-    def visit(common: int, lo: int, hi: int) -> None:
-        """Interval lo..hi (inclusive) of suffixes with k + common bytes in common."""
-        need = length - k - common  # bytes that must agree on the left
-        members = sorted((left[order[i]], order[i]) for i in range(lo, hi + 1))
-        before = 0
-        for x in range(len(members)):
-            after = _common(members[x][0], members[x + 1][0]) if x + 1 < len(members) else 0
-            best = max(before, after)
-            if best >= need and (x or x + 1 < len(members)):
-                out[members[x][1]].append((best, k + common))
-            before = after
-
-    # stack scan of the common-prefix intervals
-    stack: list[tuple[int, int]] = []  # (common bytes, left bound)
-    for i in range(1, n + 1):
-        here = lcp[i] if i < n else -1
-        lo = i - 1
-        while stack and stack[-1][0] > here:
-            common, lo = stack.pop()
-            visit(common, lo, i - 1)
-        if here >= 0 and (not stack or stack[-1][0] < here):
-            stack.append((here, lo))
-    return out
-
-
-def _staircase(extents: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The extents that no other one contains."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(extents, reverse=True):
-        if not out or b > out[-1][1]:
-            out.append((a, b))
-    return out
-
-
-def _few(df: DataFrame, array: str, most: int = 1_000_000) -> bool:
-    """Whether a written table has at most `most` elements in its array column, so that it may be broadcast."""
-    n = df.agg(F.sum(F.size(array))).first()[0]
-    return (n or 0) <= most
+    if n == 2 and not any(many):
+        a, b = _common(left[0], left[1]), k + _common(right[0], right[1])
+        return [(a, b) if a + b >= length else None] * 2
+    before, after = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for i in range(n):
+        if many[i] and len(left[i]) + k + len(right[i]) >= length:
+            before[i], after[i] = len(left[i]), k + len(right[i])
+    if n > 1:
+        order = sorted(range(n), key=right.__getitem__)  # the suffix array of the shard
+        lcp = [0] + [_common(right[order[i - 1]], right[order[i]]) for i in range(1, n)] + [-1]
+        suffixes, lefts = np.array(order), _LeftOrder(left)
+        # stack scan of the common-prefix intervals: (common bytes, left bound)
+        stack: list[tuple[int, int]] = []
+        for i in range(1, n + 1):
+            here, lo = lcp[i], i - 1
+            while stack and stack[-1][0] > here:
+                common, lo = stack.pop()
+                # the interval lo .. i-1 shares k + common bytes; who shares the rest on the left with another member?
+                members, best = lefts.neighbours(suffixes[lo:i])
+                repeat = best >= length - k - common
+                members, best = members[repeat], best[repeat]
+                before[members] = np.maximum(before[members], best)
+                after[members] = np.maximum(after[members], k + common)
+            if here >= 0 and (not stack or stack[-1][0] < here):
+                stack.append((here, lo))
+    return [(a, b) if b else None for a, b in zip(before.tolist(), after.tolist(), strict=True)]
+
+
+def _shard(anchor: int, side: bytes, near: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(side + near, digest_size=8, key=anchor.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -146,7 +174,7 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Per row of docs with repeats: row and its removed runs (starts, ends), sorted, disjoint and not touching."""
     k = length // 2
     w = length - k + 1
@@ -177,31 +205,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         found = source.mapInArrow(find, schema).join(copies, "row", "left_anti")
     found = written(found, "anchors")
     # anchors that occur more than once: counted by partial sums, then joined as a table of its own so that hot ones can be split
-    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("often")), "often")
-    live = found.join(often, F.col("anchor") == F.col("often"), "left_semi")
-    places = written(live.groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("places")), "places")  # a row's own anchors: bounded by its text
+    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("often"), (F.col("n") > hot).alias("hot")), "often")
+    live = found.join(often, F.col("anchor") == F.col("often"))
+    places = live.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))  # a row's own anchors: bounded by its text
 
     side = length - k
-    context_schema = "row long, anchor long, at array<int>, left binary, right binary"
+    half = -(-side // 2)
+    names = ["row", "shard", "anchor", "at", "left", "right"]
 
     def contexts(batches):
         for batch in batches:
             out = []
             for row, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 data = text.as_py()
-                own: dict[tuple[int, bytes, bytes], list[int]] = {}
+                own: dict[tuple[int, bool, bytes, bytes], list[int]] = {}
                 for s in spots:
                     at = s["at"]
-                    own.setdefault((s["anchor"], data[max(0, at - side) : at][::-1], data[at + k : at + length]), []).append(at)
-                out.extend((row, anchor, at, left, right) for (anchor, left, right), at in own.items())
+                    own.setdefault((s["anchor"], s["hot"], data[max(0, at - side) : at][::-1], data[at + k : at + length]), []).append(at)
+                for (anchor, is_hot, left, right), at in own.items():
+                    for shard in (_shard(anchor, b"R", right[:half]), _shard(anchor, b"L", left[:half])) if is_hot else (anchor,):
+                        out.append((row, shard, anchor, at, left, right))
             for i in range(0, max(len(out), 1), 20_000):
-                c = list(zip(*out[i : i + 20_000], strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], names=["row", "anchor", "at", "left", "right"])
+                c = list(zip(*out[i : i + 20_000], strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=names)
 
-    texts = source.join(F.broadcast(places) if _few(places, "places") else places, "row").select("row", "text", "places")
-    seen = texts.mapInArrow(contexts, context_schema)
+    texts = source.join(places.hint("merge"), "row").select("row", "text", "places")
+    seen = texts.mapInArrow(contexts, "row long, shard long, anchor long, at array<int>, left binary, right binary")
     # a shard of an anchor's suffixes, equal contexts side by side
-    shards = seen.repartition("anchor").sortWithinPartitions("anchor", "right", "left")
+    shards = seen.repartition("shard").sortWithinPartitions("shard", "anchor", "right", "left")
 
     def tree(batches):
         key, held = None, []  # held: of each distinct context (left, right, its [row, positions])
@@ -211,9 +242,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             if len(held) < 2 and not any(many):
                 return
             for (_, _, where), e in zip(held, _extents([x[0] for x in held], [x[1] for x in held], k, length, many), strict=True):
-                best = _staircase(e)
-                for row, at in where if best else ():
-                    yield row, [p - a for p in at for a, _ in best], [p + b for p in at for _, b in best]
+                for row, at in where if e else ():
+                    runs = decontaminate.merged((p - e[0], p + e[1]) for p in at)
+                    yield row, [a for a, _ in runs], [b for _, b in runs]
 
         def packed(out):
             c = list(zip(*out, strict=True)) or [()] * 3
@@ -221,10 +252,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
         for batch in batches:
             out = []
-            for row, anchor, at, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != key:
+            for row, shard, anchor, at, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, anchor) != key:
                     out.extend(done())
-                    key, held = anchor, []
+                    key, held = (shard, anchor), []
                 if held and held[-1][0] == left and held[-1][1] == right:
                     held[-1][2].append((row, at))
                 else:
@@ -251,9 +282,9 @@ def _merged(spans):
     )
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Per row of docs: row, id, n_bytes, runs (removed), kept (binary)."""
-    runs = written(repeats(docs, id_col, text_col, length), "runs")
+    runs = written(repeats(docs, id_col, text_col, length, hot), "runs")
 
     def run(batches):
         for batch in batches:
@@ -269,7 +300,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=["row", "id", "n_bytes", "runs", "kept"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.join(F.broadcast(runs) if _few(runs, "runs") else runs, "row", "left").select("row", "id", "text", "runs").mapInArrow(run, "row long, id long, n_bytes long, runs array<struct<a:int,b:int>>, kept binary")
+    return source.join(runs.hint("merge"), "row", "left").select("row", "id", "text", "runs").mapInArrow(run, "row long, id long, n_bytes long, runs array<struct<a:int,b:int>>, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

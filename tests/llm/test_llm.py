@@ -126,9 +126,11 @@ def repeated(rng):
 def test_suffix_dedup(spark, store, length):
     texts = repeated(random.Random(length))
     docs = store(texts).withColumn("row", F.lit("clash")).withColumn("runs", F.lit("clash"))
-    rows = suffix_dedup.cut(docs, length=length).collect()
-    got = sorted((r.id, r.n_bytes, sum(s.b - s.a for s in r.runs or []), len(r.runs or []), hashlib.sha256(r.kept).hexdigest()) for r in rows)
-    assert got == sorted(suffix_dedup.brute_force(list(enumerate(texts)), length))
+    want = sorted(suffix_dedup.brute_force(list(enumerate(texts)), length))
+    for hot in (suffix_dedup.HOT, 3):
+        rows = suffix_dedup.cut(docs, length=length, hot=hot).collect()
+        got = sorted((r.id, r.n_bytes, sum(s.b - s.a for s in r.runs or []), len(r.runs or []), hashlib.sha256(r.kept).hexdigest()) for r in rows)
+        assert got == want
     assert suffix_dedup.cut(docs.limit(0), length=length).count() == 0
 
 
