@@ -40,10 +40,19 @@ TEMPLATES = [
 ]
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct bigrams of the words of text, as strings."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9ß-öø-ÿ]+", " ")), " ")
-    return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))))
+def words_of(text: Column) -> Column:
+    """Normalised words of text."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9ß-öø-ÿ]+", " ")), " ")
+
+
+def bigrams(words: str) -> Column:
+    """Distinct bigrams of a column of words, as 64-bit hashes.
+
+    words must be a column and not an expression, which a lambda would compute
+    for each element; and Spark compares arrays of strings pair by pair, but
+    arrays of longs by hash set.
+    """
+    return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1))))
 
 
 def scanned(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE) -> DataFrame:
@@ -51,13 +60,14 @@ def scanned(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_
 
     templates: (licence string, notice string).
     """
-    known = templates.select("licence", bigrams(F.col("notice")).alias("g")).select("licence", F.size("g").alias("t_size"), F.explode("g").alias("gram"))
+    known = templates.select("licence", words_of(F.col("notice")).alias("words")).select("licence", bigrams("words").alias("g")).select("licence", F.size("g").alias("t_size"), F.explode("g").alias("gram"))
     low, high = known.agg(F.min("t_size"), F.max("t_size")).first()
     ratio = (2 - dice) / dice
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.split("text", "\n", -1)
     units = base.select("row", "id", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
-    sized = units.select("row", "id", "unit", bigrams(F.col("line")).alias("g")).withColumn("size", F.size("g"))
+    worded = units.select("row", "id", "unit", words_of(F.col("line")).alias("words"))
+    sized = worded.select("row", "id", "unit", bigrams("words").alias("g")).withColumn("size", F.size("g"))
     near = F.explode_outer(F.when((F.col("size") * ratio >= (low or 0)) & (F.col("size") <= (high or 0) * ratio), F.col("g"))).alias("gram")
     spread = sized.select("row", "id", "unit", "size", near)
     bounds = (F.col("size") * ratio >= F.col("t_size")) & (F.col("t_size") * ratio >= F.col("size"))
@@ -89,11 +99,11 @@ u AS (
 w AS (
   SELECT doc_id, unit, string_split(trim(regexp_replace(lower(line), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM u),
 g AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) AS g FROM w),
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w),
 tw AS (
   SELECT licence, string_split(trim(regexp_replace(lower(notice), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM t),
 tg AS (
-  SELECT licence, list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) AS g FROM tw),
+  SELECT licence, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM tw),
 m AS (
   SELECT g.doc_id, tg.licence, 2.0::DOUBLE * len(list_intersect(g.g, tg.g)) / (len(g.g) + len(tg.g)) AS dice
   FROM g JOIN tg ON len(g.g) * 1.5 >= len(tg.g) AND len(tg.g) * 1.5 >= len(g.g)),
