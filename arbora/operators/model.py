@@ -184,7 +184,34 @@ def fit(frame: DataFrame, params: ForestParams | None = None, names: list[str] |
     bag = cut(bagging.bootstrap(spark, n, r.trees, params.seed, params.bag_percent))
     subset = bagging.tree_attributes(spark, r.trees, attributes, r.tree_features, params.seed) if r.tree_features < attributes else None
     nodes = grow(frame, bag, r, classes, attributes, subset)
-    return ForestModel(nodes, params, classes, names or [f"a{i}" for i in range(attributes)], n), bag
+    model = ForestModel(nodes, params, classes, names or [f"a{i}" for i in range(attributes)], n)
+    model.measures.update(_measured(frame, model, bag, subset, r.trees, attributes))
+    return model, bag
+
+
+def _measured(frame: DataFrame, model: ForestModel, bag: DataFrame, subset: DataFrame | None, trees: int, attributes: int) -> dict[str, float]:
+    """The measures that the parameters ask for, by name; those without a value are left out."""
+    from arbora.operators import evaluate
+    from arbora.plans.lineage import cut
+
+    params, names, nodes, classes = model.params, model.names, model.nodes, model.classes
+    found: dict[str, float | None] = {}
+    if not (params.out_of_bag or params.importances or params.dropout_importances or params.interactions or params.dropout_interactions):
+        return {}
+    scores = cut(evaluate.tree_scores(frame, nodes, classes))
+    if params.out_of_bag or params.importances:
+        found["out_of_bag_error"] = evaluate.oob_error(frame, scores, bag, classes).first().error
+    if params.importances:
+        found |= {f"importance:{names[r.attr]}": r.importance for r in evaluate.permutation_importance(frame, nodes, bag, classes, attributes, params.seed).collect()}
+    if params.interactions and attributes > 1:
+        found |= {f"interaction:{names[r.attr_i]}:{names[r.attr_j]}": r.interaction for r in evaluate.permutation_interaction(frame, nodes, bag, classes, attributes, params.seed).collect()}
+    if subset is None:
+        subset = bagging.tree_attributes(frame.sparkSession, trees, attributes, attributes, params.seed)
+    if params.dropout_importances:
+        found |= {f"dropout_importance:{names[r.attr]}": r.importance for r in evaluate.dropout_importance(frame, scores, bag, subset, classes, attributes).collect()}
+    if params.dropout_interactions and attributes > 1:
+        found |= {f"dropout_interaction:{names[r.attr_i]}:{names[r.attr_j]}": r.interaction for r in evaluate.dropout_interaction(frame, scores, bag, subset, classes, attributes).collect()}
+    return {k: v for k, v in found.items() if v is not None}
 
 
 __all__ = ["ForestModel", "argmax", "fit", "flat_form", "flat_metadata", "flat_score", "leaf_slot", "packed", "tree_sizes", "tree_votes", "vote_sum"]
