@@ -20,7 +20,7 @@ the texts that it is trained on look better than any others.
 
 A document's surprise is its cross entropy above the trusted median of its
 language, damped for short texts by sqrt(n / (n + DAMP)). The limit of a
-language is SLACK times the QUANTILE of the surprise of its trusted documents
+language is SLACK times (1: no more than) the QUANTILE of the surprise of its trusted documents
 (of all languages' where a language has fewer than LEAST trusted documents).
 The same is done with the cross entropy a symbol of the spelling alone.
 Documents above either limit are rejected.
@@ -54,7 +54,7 @@ FOLDS = 2
 #: What is held against a limit: nats a word, and nats a symbol by spelling alone.
 MEASURES = ("entropy", "letters")
 QUANTILE = 0.995
-SLACK = 1.5
+SLACK = 1.0
 DAMP = 200
 LEAST = 50
 
