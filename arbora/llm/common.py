@@ -3,7 +3,7 @@ joins, connected components and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 import numpy as np
@@ -20,14 +20,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a single-machine session uses a folder in its
+    warehouse; a cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.gettempdir() + "/checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_STEADY = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Union", "OneRowRelation", "Range"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, if its rows come in the same order and partitions on every read; else docs written once.
+
+    Row numbers are monotonically_increasing_id of the input, which several
+    scans must agree on. Plans of scans, projections and filters do, as long
+    as files are split alike: so the least number of splits, which follows the
+    number of live executors by default, is fixed here for the session.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    names = {m[1] for m in (re.match(r"^[\s:+|-]*(\w+)", line) for line in plan.toString().splitlines()) if m}
+    return docs if names <= _STEADY and plan.deterministic() else written(docs, "input")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs (settled) whose numbers are not in the written table rows (row); all columns stay as they are."""
+    number = fresh(docs, "_row")
+    gone = rows.select(F.col("row").alias(number))
+    return filtered_by(docs.withColumn(number, F.monotonically_increasing_id()), gone, number, "left_anti").drop(number)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -57,7 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Min-label propagation with pointer jumping; the labels are written after
     each round, and the rounds end when no label changes. Hot nodes are
-    reduced by map-side partial minima, and no task holds a node's edges.
+    reduced by map-side partial minima; the edges of a star's centre meet its
+    label in a plain join, which adaptive execution splits where it is skewed.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
@@ -132,8 +173,17 @@ def slices(texts: pa.Array):
         first = last
 
 
+#: Random words of each byte at the first places of a word.
+_PLACES = 64
+_BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(_PLACES, 256)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a slice, and each text's range in them (len(offsets) bounds)."""
+    """64-bit hashes of all words of a slice, and each text's range in them (len(offsets) bounds).
+
+    A word's hash sums a random word for each pair of byte and place, so that
+    no structure of words makes them collide more often than chance.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     d = lut[data]
@@ -147,10 +197,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple
     lasts = offsets[1:][offsets[1:] > 0] - 1
     ends[lasts] = inside[lasts]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    p, q = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((d.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
-    hashes = mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    at = np.flatnonzero(inside)
+    own = d[at]
+    first = np.concatenate([[0], np.cumsum(e - s)])  # of each word among the bytes of words
+    place = at - np.repeat(s, e - s)
+    far = place >= _PLACES
+    value = _BYTES[np.where(far, 0, place), own]
+    if far.any():
+        value[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + own[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    hashes = mix(total[first[1:]] - total[first[:-1]] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashes, np.searchsorted(s, offsets).astype(np.int64)
 
 

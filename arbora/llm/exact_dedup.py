@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import fits_broadcast, table, written
+from arbora.llm.common import fits_broadcast, settled, table, without, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -54,7 +54,7 @@ def _collisions(lite: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFra
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row, id, keep_id, group_size, kept, text_sha256."""
-    source = _lite(docs, id_col, text_col)
+    source = _lite(settled(docs), id_col, text_col)
     lite = written(source.drop("norm"), "digests")
     one = F.lit(None).cast("string")
     groups = written(_grouped(lite.withColumn("apart", one)), "groups")
@@ -78,9 +78,8 @@ def _grouped(lite: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    dropped = written(exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("row").alias("_dropped_row")), "dropped")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(F.broadcast(dropped) if fits_broadcast(dropped) else dropped, F.col("_row") == F.col("_dropped_row"), "left_anti").drop("_row")
+    docs = settled(docs)
+    return without(docs, written(exact_groups(docs, id_col, text_col).filter("not kept").select("row"), "dropped"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

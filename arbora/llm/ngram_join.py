@@ -24,19 +24,24 @@ A document is the set of its distinct word shingles; two link when
 Defined cases: null and empty texts, and texts without words, have no
 shingles and no links; a text of fewer words than the width is one shingle;
 repeated rows fall into one class; a repeated doc_id gives a row for each
-input row; an empty table gives an empty result; further columns are ignored.
-Sets are told apart by 64-bit sums of mixed 64-bit shingle hashes.
+input row; a null doc_id sorts last; an empty table gives an empty result;
+further columns are ignored. Shingles are 64-bit hashes, which are compared
+only between the two sets of a pair. Sets of one class agree in a 64-bit sum,
+their size and the 512-bit sketch; should sets share the sum alone, those that
+do get ids from all three.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import SPACES, components, filtered_by, fits_broadcast, mix, shingle_set, slices, table, word_hashes, written
+from arbora.llm.common import SPACES, components, fits_broadcast, mix, settled, shingle_set, slices, table, without, word_hashes, written
 
+#: Sets that a task remembers to have published; it then starts afresh, which only repeats keys.
+SEEN = 200_000
 #: Words of the parity sketch.
 WORDS = 8
 _PARITY = [f"p{i}" for i in range(WORDS)]
@@ -113,7 +118,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, t: Thresho
     """Per row of docs: its set's size, id and sketch; keys only where the task has not seen the set before."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         for batch in batches:
             n, ids, parity, keys = [], [], [], []
             for h in _sets(batch.column(2), width):
@@ -123,10 +128,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, t: Thresho
                     parity.append((None,) * WORDS)
                     keys.append(None)
                     continue
-                ids.append(x := _set_id(h))
-                parity.append(_parity(h))
-                keys.append(None if x in seen else _published(h, t).view(np.int64))
-                seen.add(x)
+                ids.append(_set_id(h))
+                parity.append(tuple(_parity(h)))
+                this = (ids[-1], len(h), *parity[-1][:2])
+                keys.append(None if this in seen else _published(h, t).view(np.int64))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(this)
             cols = list(zip(*parity, strict=True)) if parity else [()] * WORDS
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in cols], pa.array(keys, pa.list_(pa.int64()))],
@@ -137,19 +145,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, t: Thresho
     return rows.mapInArrow(run, _SKETCH)
 
 
-def _shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(set_id, set) of the rows of docs with a set."""
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(set_id, shingles) of texts (set_id, text)."""
 
     def run(batches):
         for batch in batches:
-            ids, sets = [], []
-            for h in _sets(batch.column(0), width):
-                if len(h):
-                    ids.append(_set_id(h))
-                    sets.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
+            sets = [h.view(np.int64) for h in _sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set_id long, shingles array<long>")
+    return texts.mapInArrow(run, "set_id long, shingles array<long>")
 
 
 _BOUNDS = ["n", *_PARITY]
@@ -165,8 +169,8 @@ def may_link(a: str, b: str, t: Threshold) -> Column:
 class _Verifier:
     """Checks candidate pairs of set ids on the whole sets."""
 
-    def __init__(self, docs, base, classes, id_col, text_col, width, t: Threshold):
-        self.docs, self.base, self.classes, self.id_col, self.text_col, self.width, self.t = docs, base, classes, id_col, text_col, width, t
+    def __init__(self, docs, classes, text_col, width, t: Threshold):
+        self.docs, self.classes, self.text_col, self.width, self.t = docs, classes, text_col, width, t
 
     def __call__(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(pairs that the sketch bound left, links among them), both written."""
@@ -176,9 +180,10 @@ class _Verifier:
         left = written(left, f"{name}-candidates")
         # one row of the corpus for each set that takes part
         wanted = left.select(F.col("a").alias("set_id")).unionByName(left.select(F.col("b").alias("set_id"))).distinct()
-        wanted = written(self.classes.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("_wanted_row")), f"{name}-wanted")
-        texts = self.docs.select(F.monotonically_increasing_id().alias("_wanted_row"), F.col(self.text_col).alias("text"))
-        sets = written(_shingles(filtered_by(texts, wanted, "_wanted_row", "left_semi"), self.id_col, "text", self.width), f"{name}-sets")
+        wanted = written(self.classes.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("row"), "set_id"), f"{name}-wanted")
+        texts = self.docs.select(F.monotonically_increasing_id().alias("row"), F.col(self.text_col).alias("text"))
+        texts = texts.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "row").select("set_id", "text")
+        sets = written(_shingles(texts, self.width), f"{name}-sets")
         one = lambda x: sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"{x}_set"))
         both = left.join(one("a"), "a").join(one("b"), "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
@@ -189,22 +194,29 @@ class _Verifier:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per row of docs: row, id, n_shingles, component_id."""
     t = Threshold(num, den)
+    docs = settled(docs)
     base = written(sketches(docs, id_col, text_col, width, t), "sketches")
-    first = F.min(F.struct("id", "row"))
-    classes = written(
-        base.filter("n > 0").groupBy("set_id").agg(first.alias("m"), F.min("row").alias("rep"), *[F.first(c).alias(c) for c in _BOUNDS])
-        .select("set_id", F.col("m.id").alias("least"), "rep", *_BOUNDS),
-        "classes",
-    )
+    all_bounds = F.struct(*_BOUNDS)
+    shared_ids = base.filter("n > 0").groupBy("set_id").agg(F.min(all_bounds).alias("lo"), F.max(all_bounds).alias("hi"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"), F.min("row").alias("rep"))
+    classes = written(shared_ids, "classes")
+    clashes = classes.filter("lo <> hi")
+    if clashes.limit(1).count():
+        told = F.when(F.col("clash"), F.xxhash64("set_id", *_BOUNDS)).otherwise(F.col("set_id"))
+        marked = base.join(clashes.select("set_id", F.lit(True).alias("clash")), "set_id", "left")
+        base = written(marked.withColumn("set_id", told).select(*base.columns), "sketches")
+        classes = written(base.filter("n > 0").groupBy("set_id").agg(F.min(all_bounds).alias("lo"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"), F.min("row").alias("rep")), "classes")
+    classes = classes.select("set_id", F.col("m.id").alias("least"), "rep", "lo.*")
     published = base.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "set_id")
-    w = Window.partitionBy("key")
-    met = published.withColumn("first", F.min("set_id").over(w)).withColumn("last", F.max("set_id").over(w)).withColumn("met", F.count(F.lit(1)).over(w))
-    met = written(met.filter("first <> last").select("key", "set_id", "met").dropDuplicates(["key", "set_id"]), "met")
+    # keys of several sets, by partial sums; their sets by a join that can be split where a key is hot
+    keys = published.groupBy("key").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last"), F.count(F.lit(1)).alias("met"))
+    keys = written(keys.filter("first <> last").select(F.col("key").alias("met_key"), "met"), "met-keys")
+    met = written(published.join(keys, F.col("key") == F.col("met_key")).select("key", "set_id", "met").dropDuplicates(["key", "set_id"]), "met")
     # the leader of a segment is the set that meets most others in all: of a group of near copies, the text they were made from
     degrees = met.groupBy("set_id").agg(F.sum("met").alias("degree"))
-    leader = F.max(F.struct("degree", "set_id")).over(w)["set_id"].alias("leader")
-    shared = written(met.join(degrees, "set_id").select("key", "set_id", leader), "shared")
-    verify = _Verifier(docs, base, classes, id_col, text_col, width, t)
+    ranked = written(met.join(degrees, "set_id").select("key", "set_id", "degree"), "ranked")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "set_id"))["set_id"].alias("leader")).select(F.col("key").alias("led_key"), "leader")
+    shared = written(ranked.join(leaders, F.col("key") == F.col("led_key")).select("key", "set_id", "leader"), "shared")
+    verify = _Verifier(docs, classes, text_col, width, t)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried, links = verify(shared.filter("set_id <> leader").select(*pair("set_id", "leader")).distinct(), "lead")
     comp = components(links)
@@ -233,12 +245,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose component has a row of a smaller id (of equal ids the first row stays)."""
+    docs = settled(docs)
     found = written(jaccard_components(docs, id_col, text_col, **options).select("row", "id", "component_id", "n_shingles"), "components")
-    keep = found.filter("id = component_id and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("kept_row"))
-    dropped = found.filter("n_shingles > 0").join(keep, "component_id").filter("row <> kept_row").select(F.col("row").alias("_dropped_row"))
-    dropped = written(dropped, "near-dropped")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(F.broadcast(dropped) if fits_broadcast(dropped) else dropped, F.col("_row") == F.col("_dropped_row"), "left_anti").drop("_row")
+    keep = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("kept_row"))
+    dropped = found.filter("n_shingles > 0").join(keep, found.component_id.eqNullSafe(keep.component_id)).filter("row <> kept_row").select("row")
+    return without(docs, written(dropped, "near-dropped"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import filtered_by, mix, slices, table, word_hashes, written
+from arbora.llm.common import filtered_by, mix, settled, slices, table, without, word_hashes, written
 
 SYMBOLS = 64
 #: Most words of the vocabulary; ids 1 .. WORDS, 0 for other words, START before a text.
@@ -418,6 +418,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
 
     trusted_ids: the ids (in a column `id`) of trusted documents.
     """
+    docs = settled(docs)
     trusted = written(trusted_ids.select("id").distinct(), "trusted-ids")
     fold = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FOLDS))
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", id_col, text_col, lang_col)
@@ -450,9 +451,8 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
-    rejected = written(judged(docs, trusted_ids, **options).filter("not kept").select(F.col("row").alias("_rejected_row")), "rejected")
-    rows = docs.withColumn("_rejected_row", F.monotonically_increasing_id())
-    return filtered_by(rows, rejected, "_rejected_row", "left_anti").drop("_rejected_row")
+    docs = settled(docs)
+    return without(docs, written(judged(docs, trusted_ids, **options).filter("not kept").select("row"), "rejected"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

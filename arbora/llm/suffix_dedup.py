@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import decontaminate
-from arbora.llm.common import _powers, fits_broadcast, mix, slices, table, written
+from arbora.llm.common import _powers, fits_broadcast, mix, settled, slices, table, written
 
 LENGTH = 400
 #: Occurrences from which an anchor's suffixes are dealt over finer shards.
@@ -178,6 +178,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """Per row of docs with repeats: row and its removed runs (starts, ends), sorted, disjoint and not touching."""
     k = length // 2
     w = length - k + 1
+    docs = settled(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digests = written(source.select("row", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("h")).filter(F.col("n") >= length), "doc-digests")
     groups = digests.groupBy("h").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -284,6 +285,7 @@ def _merged(spans):
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Per row of docs: row, id, n_bytes, runs (removed), kept (binary)."""
+    docs = settled(docs)
     runs = written(repeats(docs, id_col, text_col, length, hot), "runs")
 
     def run(batches):

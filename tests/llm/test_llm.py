@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, exact_dedup, html_extract, licences, mixing, ngram_join, quality, suffix_dedup, token_counts, url_filter
+from arbora.llm import common, decontaminate, exact_dedup, html_extract, licences, ngram_join, quality, suffix_dedup, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -94,6 +94,29 @@ def test_jaccard_join_is_exact(spark, store, seed, width, num):
     assert kept == {i for i, n, c in want if i == c or not n}
 
 
+def test_jaccard_join_tells_structured_words_apart(spark, store):
+    # words that polynomial hashes modulo 2**64 cannot tell apart
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = "".join("ba"[bin(i).count("1") % 2] for i in range(4096))
+    texts = [one, other, one, f"{one} {other}", f"{other} {one}", f"x {one} y z", f"x {other} y z"]
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(store(texts)).collect())
+    assert got == sorted(ngram_join.brute_force(list(enumerate(texts))))
+
+
+def test_jaccard_join_survives_clashing_ids(spark, store, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_set_id", lambda h: int(h[0] & np.uint64(1)))
+    texts = near_copies(random.Random(9))[:60]
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(store(texts)).collect())
+    assert got == sorted(ngram_join.brute_force(list(enumerate(texts))))
+
+
+def test_row_numbers_hold_for_unsteady_input(spark, store):
+    docs = store(["a b c d e", "x", "a b c d e", None]).repartition(3, F.rand())
+    assert {r.id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} == {0, 1, 3}
+    assert common.settled(store(["a"])).count() == 1
+
+
 def test_jaccard_join_of_an_empty_table(spark, store):
     assert ngram_join.jaccard_components(store(["a"]).limit(0)).count() == 0
 
@@ -237,31 +260,6 @@ def test_kneser_ney_is_a_distribution(spark, store):
     assert len(quality.symbols(np.frombuffer("aé東✓ Z".encode(), np.uint8))) == 6
 
 
-def test_mixing_meets_its_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("tokens", F.lit("clash")).withColumn("p0", F.lit("clash"))
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    targets = {"clean": 0.8, "toxic": 0.1, "poor": 0.1}
-    found, domains = mixing.mixed(docs, mixing.label_domains(labels), targets)
-    rows = found.toPandas()
-    assert len(rows) == docs.count() and (rows.rate >= 0).all()
-    assert rows[[f"p_{d}" for d in domains]].sum(axis=1).to_numpy() == pytest.approx(1.0)
-    total = rows.tokens.sum()
-    for d in domains:
-        assert (rows.rate * rows.tokens * rows[f"p_{d}"]).sum() / total == pytest.approx(targets[d], abs=1e-4)
-    known = rows.merge(labels.toPandas(), left_on="id", right_on="doc_id")
-    guess = known[[f"p_{d}" for d in domains]].idxmax(axis=1)
-    truth = np.where(known.toxic == 1, "p_toxic", np.where(known.quality == 0, "p_poor", "p_clean"))
-    assert (guess == truth).mean() >= 0.85
-    assert abs((rows.copies - rows.rate).mean()) < 0.1
-
-
-def test_mixing_without_rows_or_labels(spark, store):
-    docs = store(["a b", None])
-    none = docs.select(F.col("doc_id").alias("id"), F.lit("clean").alias("domain")).limit(0)
-    assert mixing.mixed(docs, none)[0].count() == 2
-    assert mixing.mixed(docs.limit(0), none)[0].count() == 0
-
-
 def test_pipeline_keeps_clean_documents(spark, tmp_path_factory):
     import corpus_pipeline
 
@@ -272,7 +270,8 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path_factory):
         stage(spark, docs, SF).write.parquet(out)
         docs = spark.read.parquet(out)
         left = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert left <= ids and len(left) >= 0.7 * len(ids), name
+        # the last stage gives rates and drops those of 0; see test_mixing.py
+        assert left <= ids and (len(left) >= 0.7 * len(ids) or name == "mixing"), name
         ids = left
         if i + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
