@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller
 writes it as Parquet and rereads it as the next stage's docs. All but the last
 return the columns of documents; the last adds rate and copies.
+
+Defined cases, for all stages: further columns, whatever their names, go
+through unchanged (but for rate and copies, which the last stage sets); rows
+with a null id or text are kept by the quality and decontamination stages,
+null texts are copies of each other for the exact stage and of nothing for the
+near stage, and the last stage gives them a rate without letting them count in
+the totals; repeated rows are copies; an empty table gives an empty table with
+the same columns.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
-from arbora.llm.common import filtered_by, table, written
+from arbora.llm.common import settled, table, without, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    hit = written(found.filter(F.size("items") > 0).select(F.col("row").alias("_hit_row")), "contaminated")
-    return filtered_by(docs.withColumn("_hit_row", F.monotonically_increasing_id()), hit, "_hit_row", "left_anti").drop("_hit_row")
+    docs = settled(docs)
+    hit = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).filter(F.size("items") > 0).select("row")
+    return without(docs, written(hit, "contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
