@@ -152,7 +152,7 @@ def lowered(separators: str) -> np.ndarray:
 SPACES = lowered("\t\n\x0b\x0c\r ")
 
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def slices(texts: pa.Array):

@@ -1,31 +1,36 @@
 """Suffix-array dedup: maximal repeats from the interval tree of a sparse, sharded suffix array.
 
-Every string of `length` bytes that occurs twice holds, in both places, the
-same winnowing anchor: the least hash of its k-byte strings (k = length / 2).
-Only suffixes that start at an anchor are indexed, which keeps about one
-position in a hundred and loses no repeat:
+Every string of `passage` bytes (three quarters of `length`) that occurs twice
+holds, in both places, the same winnowing anchor: the least hash of its k-byte
+strings (k = length / 4). Only suffixes that start at an anchor are indexed,
+which keeps about one position in a hundred and loses no repeat:
 
 1. Equal documents are found by their hash; of each set of copies one is
    searched, and the copies of a text of `length` bytes or more go whole.
 2. Anchors (hash, row, position) are counted by hash; those that occur once
    end here.
 3. Each other anchor gets its context: up to length - k bytes before it and as
-   many after. Contexts are dealt by anchor hash, so that a shard holds all
-   suffixes with the anchor's first k bytes; equal contexts count as one. The
-   contexts of a hot anchor go to two finer shards each: two occurrences that
-   agree in length - k bytes around the anchor agree in half of them on its
-   right or on its left, so they meet in one of the shards, and a common
-   passage of fewer bytes falls apart into small ones.
+   many after, named by a 128-bit hash. Two tables come of that: the
+   occurrences (row, positions, context), which stay small, and the contexts
+   themselves, of which each task sends equal ones once, with their count; so a
+   large group of copies sends a row a task and not one a copy. Contexts are
+   dealt by anchor hash: a shard holds all suffixes with the anchor's first k
+   bytes. The contexts of a hot anchor go to two finer shards each: two
+   occurrences that agree in passage - k bytes around the anchor agree in half
+   of them on its right or on its left, so they meet in one of the shards, and
+   a common passage of fewer bytes falls apart into small ones.
    (Texts meet their anchors, and later their runs, in sort-merge joins at
    every size.)
 4. In a shard the suffixes are sorted and their common prefixes taken (the
    enhanced suffix array). A stack scan gives its common-prefix intervals. In
    an interval with n common bytes an occurrence is part of a repeat if
-   another one extends as far to the left as to make up `length`; where the
-   left extensions of an interval differ, the repeat is maximal. Every member
-   of an interval is reported, not just neighbours in the array, with the
-   extent of its repeats to the left and right.
-5. The extents of a row are merged and cut out.
+   another one extends as far to the left as to make up the wanted length;
+   where the left extensions of an interval differ, the repeat is maximal.
+   Every member of an interval is reported, not just neighbours in the array,
+   with the extent of its repeats to the left and right.
+5. The extents meet the occurrences by context, and those of a row are merged.
+   The runs of strings of `length` bytes are cut out. The runs of strings of
+   `passage` bytes with more than `words` words are reported as shared passages.
 
 Defined cases: null counts as empty; texts shorter than `length` lose
 nothing; matches never cross documents but may overlap within one; repeated
@@ -38,16 +43,20 @@ are compared by 64-bit hash and by bytes respectively.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate
 from arbora.llm.common import _powers, fits_broadcast, mix, settled, slices, table, written
 
 LENGTH = 400
+#: Words that a shared passage has more than.
+PASSAGE_WORDS = 50
+#: Distinct contexts that a task gathers before it sends them.
+GATHERED = 10_000
 #: Occurrences from which an anchor's suffixes are dealt over finer shards.
 HOT = 1000
 
@@ -119,8 +128,8 @@ class _LeftOrder:
         return members[order], best
 
 
-def _extents(left: list[bytes], right: list[bytes], k: int, length: int, many: list[bool]) -> list[tuple[int, int] | None]:
-    """For each distinct context of one anchor how far its repeats reach, in bytes to the left and right of the anchor's start.
+def _extents(left: list[bytes], right: list[bytes], k: int, lengths: tuple[int, ...], many: list[bool]) -> list[list[tuple[int, int] | None]]:
+    """For each of lengths, and for each distinct context of one anchor, how far its repeats of that length reach, in bytes to the left and right of the anchor's start.
 
     left: bytes before the anchor, reversed; right: bytes after its k bytes;
     many: whether the context occurs more than once. The repeats of an
@@ -129,11 +138,13 @@ def _extents(left: list[bytes], right: list[bytes], k: int, length: int, many: l
     n = len(right)
     if n == 2 and not any(many):
         a, b = _common(left[0], left[1]), k + _common(right[0], right[1])
-        return [(a, b) if a + b >= length else None] * 2
-    before, after = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        return [[(a, b) if a + b >= length else None] * 2 for length in lengths]
+    before, after = np.zeros((len(lengths), n), np.int32), np.zeros((len(lengths), n), np.int32)
     for i in range(n):
-        if many[i] and len(left[i]) + k + len(right[i]) >= length:
-            before[i], after[i] = len(left[i]), k + len(right[i])
+        if many[i]:
+            for j, length in enumerate(lengths):
+                if len(left[i]) + k + len(right[i]) >= length:
+                    before[j, i], after[j, i] = len(left[i]), k + len(right[i])
     if n > 1:
         order = sorted(range(n), key=right.__getitem__)  # the suffix array of the shard
         lcp = [0] + [_common(right[order[i - 1]], right[order[i]]) for i in range(1, n)] + [-1]
@@ -146,13 +157,14 @@ def _extents(left: list[bytes], right: list[bytes], k: int, length: int, many: l
                 common, lo = stack.pop()
                 # the interval lo .. i-1 shares k + common bytes; who shares the rest on the left with another member?
                 members, best = lefts.neighbours(suffixes[lo:i])
-                repeat = best >= length - k - common
-                members, best = members[repeat], best[repeat]
-                before[members] = np.maximum(before[members], best)
-                after[members] = np.maximum(after[members], k + common)
+                for j, length in enumerate(lengths):
+                    repeat = best >= length - k - common
+                    some, reach = members[repeat], best[repeat]
+                    before[j, some] = np.maximum(before[j, some], reach)
+                    after[j, some] = np.maximum(after[j, some], k + common)
             if here >= 0 and (not stack or stack[-1][0] < here):
                 stack.append((here, lo))
-    return [(a, b) if b else None for a, b in zip(before.tolist(), after.tolist(), strict=True)]
+    return [[(a, b) if b else None for a, b in zip(before[j].tolist(), after[j].tolist(), strict=True)] for j in range(len(lengths))]
 
 
 def _shard(anchor: int, side: bytes, near: bytes) -> int:
@@ -174,10 +186,19 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
+def _context(anchor: int, left: bytes, right: bytes) -> bytes:
+    """The 128-bit name of a context."""
+    h = hashlib.blake2b(left, digest_size=16, key=anchor.to_bytes(8, "little", signed=True))
+    h.update(len(left).to_bytes(4, "little"))
+    h.update(right)
+    return h.digest()
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Per row of docs with repeats: row and its removed runs (starts, ends), sorted, disjoint and not touching."""
-    k = length // 2
-    w = length - k + 1
+    """Per row of docs with repeats: row, its runs of strings of `length` bytes and of three quarters of that (passages); both sorted, disjoint and not touching."""
+    k = max(1, length // 4)
+    passage = max(k, 3 * length // 4)
+    w = passage - k + 1
     docs = settled(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digests = written(source.select("row", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("h")).filter(F.col("n") >= length), "doc-digests")
@@ -211,64 +232,90 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     places = live.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))  # a row's own anchors: bounded by its text
 
     side = length - k
-    half = -(-side // 2)
-    names = ["row", "shard", "anchor", "at", "left", "right"]
+    half = max(1, -(-(passage - k) // 2))
 
-    def contexts(batches):
+    def cut_out(batches):
+        """Of each row: the row, and its contexts as (name, anchor, hot, left, right) with their positions."""
         for batch in batches:
-            out = []
             for row, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 data = text.as_py()
-                own: dict[tuple[int, bool, bytes, bytes], list[int]] = {}
+                own: dict[tuple, list[int]] = {}
                 for s in spots:
-                    at = s["at"]
-                    own.setdefault((s["anchor"], s["hot"], data[max(0, at - side) : at][::-1], data[at + k : at + length]), []).append(at)
-                for (anchor, is_hot, left, right), at in own.items():
-                    for shard in (_shard(anchor, b"R", right[:half]), _shard(anchor, b"L", left[:half])) if is_hot else (anchor,):
-                        out.append((row, shard, anchor, at, left, right))
-            for i in range(0, max(len(out), 1), 20_000):
-                c = list(zip(*out[i : i + 20_000], strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=names)
+                    at, anchor = s["at"], s["anchor"]
+                    left, right = data[max(0, at - side) : at][::-1], data[at + k : at + length]
+                    own.setdefault((_context(anchor, left, right), anchor, s["hot"], left, right), []).append(at)
+                yield row, own
+
+    def occurrences(batches):
+        out = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["row", "context", "at"])
+        for row, own in cut_out(batches):
+            out.extend((row, key[0], at) for key, at in own.items())
+            if len(out) >= 20_000:
+                yield pack()
+                out.clear()
+        yield pack()
+
+    def contexts(batches):
+        held: dict[tuple, int] = {}
+
+        def packed():
+            rows = [(shard, anchor, name, n, left, right) for (name, anchor, is_hot, left, right), n in held.items() for shard in ((_shard(anchor, b"R", right[:half]), _shard(anchor, b"L", left[:half])) if is_hot else (anchor,))]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["shard", "anchor", "context", "n", "left", "right"])
+
+        for _, own in cut_out(batches):
+            for key, at in own.items():
+                held[key] = held.get(key, 0) + len(at)
+            if len(held) >= GATHERED:
+                yield packed()
+        yield packed()
 
     texts = source.join(places.hint("merge"), "row").select("row", "text", "places")
-    seen = texts.mapInArrow(contexts, "row long, shard long, anchor long, at array<int>, left binary, right binary")
+    seen = texts.mapInArrow(contexts, "shard long, anchor long, context binary, n long, left binary, right binary")
     # a shard of an anchor's suffixes, equal contexts side by side
     shards = seen.repartition("shard").sortWithinPartitions("shard", "anchor", "right", "left")
 
     def tree(batches):
-        key, held = None, []  # held: of each distinct context (left, right, its [row, positions])
+        key, held = None, []  # held: of each distinct context [left, right, name, occurrences]
 
         def done():
-            many = [len(x[2]) > 1 or len(x[2][0][1]) > 1 for x in held]
+            many = [x[3] > 1 for x in held]
             if len(held) < 2 and not any(many):
                 return
-            for (_, _, where), e in zip(held, _extents([x[0] for x in held], [x[1] for x in held], k, length, many), strict=True):
-                for row, at in where if e else ():
-                    runs = decontaminate.merged((p - e[0], p + e[1]) for p in at)
-                    yield row, [a for a, _ in runs], [b for _, b in runs]
+            long, short = _extents([x[0] for x in held], [x[1] for x in held], k, (length, passage), many)
+            for (_, _, name, _), a, b in zip(held, long, short, strict=True):
+                if b:
+                    yield name, *(a or (None, None)), *b
 
         def packed(out):
-            c = list(zip(*out, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.int32())), pa.array(c[2], pa.list_(pa.int32()))], names=["row", "a", "b"])
+            kinds = (pa.binary(), *[pa.int32()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["name", "before", "after", "p_before", "p_after"])
 
         for batch in batches:
             out = []
-            for row, shard, anchor, at, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, anchor, name, n, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, anchor) != key:
                     out.extend(done())
                     key, held = (shard, anchor), []
-                if held and held[-1][0] == left and held[-1][1] == right:
-                    held[-1][2].append((row, at))
+                if held and held[-1][2] == name:
+                    held[-1][3] += n
                 else:
-                    held.append((left, right, [(row, at)]))
+                    held.append([left, right, name, n])
             yield packed(out)
         yield packed(list(done()))
 
-    extents = shards.mapInArrow(tree, "row long, a array<int>, b array<int>")
-    spans = extents.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("a", "b")))).alias("spans"))  # a row's own spans: bounded by its text
-    one = spans.select("row", _merged(F.array_distinct("spans")).alias("runs"))
+    extents = shards.mapInArrow(tree, "name binary, before int, after int, p_before int, p_after int")
+    seen_at = texts.mapInArrow(occurrences, "row long, context binary, at array<int>")
+    met = seen_at.join(extents, F.col("context") == F.col("name")).select("row", F.explode("at").alias("at"), "before", "after", "p_before", "p_after")
+    span = lambda a, b: F.struct((F.col("at") - F.col(a)).alias("a"), (F.col("at") + F.col(b)).alias("b"))
+    # a row's own spans: bounded by its text
+    spans = met.groupBy("row").agg(F.collect_set(F.when(F.col("after").isNotNull(), span("before", "after"))).alias("runs"), F.collect_set(span("p_before", "p_after")).alias("passages"))
+    one = spans.select("row", *[_merged(F.array_sort(c)).alias(c) for c in ("runs", "passages")])
     # a searched text with copies goes whole, and so do the copies
-    whole = digests.join(groups.filter("copies > 1").select(F.col("h").alias("of"), "copies"), F.col("h") == F.col("of")).select("row", F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))).alias("runs"))
+    all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
+    whole = digests.join(groups.filter("copies > 1").select(F.col("h").alias("of"), "copies"), F.col("h") == F.col("of")).select("row", all_of_it.alias("runs"), all_of_it.alias("passages"))
     return one.join(whole.select("row"), "row", "left_anti").unionByName(whole)
 
 
@@ -283,15 +330,15 @@ def _merged(spans):
     )
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Per row of docs: row, id, n_bytes, runs (removed), kept (binary)."""
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per row of docs: row, id, n_bytes, runs (removed), kept (binary), passages (shared, of more than `words` words)."""
     docs = settled(docs)
     runs = written(repeats(docs, id_col, text_col, length, hot), "runs")
 
     def run(batches):
         for batch in batches:
-            n, kept = [], []
-            for text, spans in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
+            n, kept, shared = [], [], []
+            for text, spans, passages in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 data, at, parts = text.as_py(), 0, []
                 for s in spans or []:
                     parts.append(data[at : s["a"]])
@@ -299,34 +346,42 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                 parts.append(data[at:])
                 n.append(len(data))
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=["row", "id", "n_bytes", "runs", "kept"])
+                shared.append([s for s in passages or [] if len(data[s["a"] : s["b"]].split()) > words])
+            spans_of = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3), pa.array(kept, pa.binary()), pa.array(shared, spans_of)], names=["row", "id", "n_bytes", "runs", "kept", "passages"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.join(runs.hint("merge"), "row", "left").select("row", "id", "text", "runs").mapInArrow(run, "row long, id long, n_bytes long, runs array<struct<a:int,b:int>>, kept binary")
+    kind = "array<struct<a:int,b:int>>"
+    return source.join(runs.hint("merge"), "row", "left").select("row", "id", "text", "runs", "passages").mapInArrow(run, f"row long, id long, n_bytes long, runs {kind}, kept binary, passages {kind}")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of LENGTH bytes and more that repeat anywhere in the documents, cut out."""
+    """Passages of LENGTH bytes and more that repeat anywhere in the documents, cut out; n_passages: shared passages of over 50 words, from 300 bytes on."""
     found = cut(table(spark, sf_dir, "documents"))
     removed = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]).cast("long")), F.lit(0).cast("long"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"))
 
 
-def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH, words: int = PASSAGE_WORDS) -> list[tuple]:
     """The registered query's rows by looking at every string of `length` bytes, for tests."""
     from collections import Counter
 
     texts = [(i, (t or "").encode()) for i, t in docs]
-    seen = Counter(d[p : p + length] for _, d in texts for p in range(len(d) - length + 1))
+
+    def covered(length):
+        seen = Counter(d[p : p + length] for _, d in texts for p in range(len(d) - length + 1))
+        for _, d in texts:
+            hit = bytearray(len(d))
+            for p in range(len(d) - length + 1):
+                if seen[d[p : p + length]] > 1:
+                    hit[p : p + length] = b"\x01" * length
+            yield hit, [(m.start(), m.end()) for m in re.finditer(b"\x01+", hit)]
+
     out = []
-    for doc_id, d in texts:
-        hit = bytearray(len(d))
-        for p in range(len(d) - length + 1):
-            if seen[d[p : p + length]] > 1:
-                hit[p : p + length] = b"\x01" * length
-        spans = sum(1 for i in range(len(d)) if hit[i] and (not i or not hit[i - 1]))
+    for (doc_id, d), (hit, spans), (_, passages) in zip(texts, covered(length), covered(3 * length // 4), strict=True):
         kept = bytes(b for b, x in zip(d, hit, strict=True) if not x)
-        out.append((doc_id, len(d), sum(hit), spans, hashlib.sha256(kept).hexdigest()))
+        shared = sum(len(d[a:b].split()) > words for a, b in passages)
+        out.append((doc_id, len(d), sum(hit), len(spans), hashlib.sha256(kept).hexdigest(), shared))
     return out
 
 

@@ -147,12 +147,15 @@ def repeated(rng):
 
 @pytest.mark.parametrize("length", [400, 101, 60])
 def test_suffix_dedup(spark, store, length):
-    texts = repeated(random.Random(length))
+    rng = random.Random(length)
+    shared = words(rng, length)[: 9 * length // 10]  # shorter than what is cut out
+    texts = [*repeated(rng), *[f"{words(rng, 20)} {shared} {words(rng, 20)}" for _ in range(5)]]
     docs = store(texts).withColumn("row", F.lit("clash")).withColumn("runs", F.lit("clash"))
-    want = sorted(suffix_dedup.brute_force(list(enumerate(texts)), length))
+    want = sorted(suffix_dedup.brute_force(list(enumerate(texts)), length, words=6))
+    assert any(x[5] and not x[2] for x in want)
     for hot in (suffix_dedup.HOT, 3):
-        rows = suffix_dedup.cut(docs, length=length, hot=hot).collect()
-        got = sorted((r.id, r.n_bytes, sum(s.b - s.a for s in r.runs or []), len(r.runs or []), hashlib.sha256(r.kept).hexdigest()) for r in rows)
+        rows = suffix_dedup.cut(docs, length=length, hot=hot, words=6).collect()
+        got = sorted((r.id, r.n_bytes, sum(s.b - s.a for s in r.runs or []), len(r.runs or []), hashlib.sha256(r.kept).hexdigest(), len(r.passages)) for r in rows)
         assert got == want
     assert suffix_dedup.cut(docs.limit(0), length=length).count() == 0
 
