@@ -7,12 +7,20 @@ kernel, are split into two clusters (content, rest) by a threshold found with
 one-dimensional 2-means. Lines in elements that never hold main text (menus,
 headers, footers, forms, adverts, ...) have ratio 0. The content lines vote,
 by their text length, for the enclosing region: the article or main element,
-else the innermost element that holds nearly all of the content mass; every
-line of that region outside excluded elements is main text, however short.
+else the innermost element that holds nearly all of the content mass. The
+contract asks for the whole article, so every line of the region outside
+excluded elements is main text, however short: the clusters choose the region
+and not single lines.
+
+An element is excluded for its tag or role, or for a class or id that says
+nothing else (``sidebar``, ``cookie-notice``, ``ad-box``, but not
+``no-sidebar`` or ``page-header-fixed``); a class never excludes an element
+that holds an article or main element. All passes are linear in the page.
 
 Defined cases: null and empty html give an empty text; broken markup is
-parsed as far as it goes; text outside any element counts as a block of the
-page; repeated pages give equal rows; further columns are ignored.
+parsed as far as it goes, at any depth; text outside any element counts as a
+block of the page; repeated pages give equal rows; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +40,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose text is never shown or never main text.
 SKIP = frozenset("head title script style noscript template iframe object svg canvas nav header footer aside form button select textarea option dialog menu".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-_SKIP_WORDS = re.compile(r"^(ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|widget|toolbar|login|signup|form)$", re.I)
+#: Words of a class or id that tell an element outside the main text, and words that may stand beside them.
+_SKIP_WORDS = re.compile(r"^(ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|widget|toolbar|login|signup|form)$", re.I)
+_PLAIN_WORDS = frozenset("area bar box block button buttons container content list links item items section wrapper wrap inner outer top bottom left right main site global primary secondary side slot unit group row post posts".split())
 REGIONS = frozenset(["article", "main"])
 #: Blocks that end an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -40,39 +50,54 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "skip", "depth")
+    """An element. hard: excluded for what it is; soft: for a class or id, unless it holds a region."""
 
-    def __init__(self, tag, parent, skip):
-        self.tag, self.parent, self.skip = tag, parent, skip
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("tag", "parent", "hard", "soft", "skip", "last", "region", "number")
 
+    def __init__(self, tag, parent, hard, soft, number):
+        self.tag, self.parent, self.hard, self.soft, self.number = tag, parent, hard, soft, number
+        self.skip, self.last, self.region = False, number, tag in REGIONS and not hard
 
-def _excluded(tag: str, attrs: list, parent: _Node) -> bool:
-    if tag in SKIP:
-        # a header inside an article may hold its title, but contract and practice drop it
-        return True
-    for name, value in attrs:
-        if name in ("class", "id") and value and tag not in REGIONS and tag != "body" and tag != "html":
-            for word in value.split():
-                if any(_SKIP_WORDS.match(part) for part in (word, *re.split(r"[-_]+", word))):
-                    return True
-        elif name == "role" and value and value.lower() in SKIP_ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+
+def _says_skip(value: str) -> bool:
+    """Whether one of the names in a class or id tells of nothing but an element outside the main text."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        skips = [bool(_SKIP_WORDS.match(x)) for x in parts]
+        if any(skips) and all(x or y.lower() in _PLAIN_WORDS for x, y in zip(skips, parts, strict=True)):
             return True
     return False
 
 
+def _excluded(tag: str, attrs: list) -> tuple[bool, bool]:
+    """(hard, soft) of an element."""
+    hard = tag in SKIP
+    soft = False
+    for name, value in attrs:
+        if name in ("class", "id"):
+            soft = soft or bool(value) and tag not in REGIONS and tag not in ("body", "html") and _says_skip(value)
+        elif name == "role":
+            hard = hard or bool(value) and value.lower() in SKIP_ROLES
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+            hard = True
+    return hard, soft
+
+
+_P_STOPS = ("body", "article", "main", "div", "section", "td", "li", "blockquote")
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, element)."""
+    """Lines of a page: (text, tags, element); elements in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.node = _Node("", None, False)
+        self.nodes = [_Node("", None, False, False, 0)]
+        self.open = [self.nodes[0]]
+        self.places: dict[str, list[int]] = {}  # where the open elements of each tag stand in open
         self.lines: list[tuple[str, int, _Node]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.owner = self.root
+        self.owner = self.nodes[0]
 
     def cut(self):
         if self.parts:
@@ -84,34 +109,37 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        inline = tag in INLINE
-        skip = self.node.skip or _excluded(tag, attrs, self.node)
-        if not inline or skip != self.node.skip:
+        hard, soft = _excluded(tag, attrs)
+        if tag not in INLINE or hard or soft:
             self.cut()
         if tag in _ENDS_P:
-            self._close("p", stop=("body", "article", "main", "div", "section", "td", "li", "blockquote"))
+            self._close("p", _P_STOPS)
         if tag == "li":
-            self._close("li", stop=("ul", "ol", "menu"))
+            self._close("li", ("ul", "ol", "menu"))
         if tag not in VOID:
-            self.node = _Node(tag, self.node, skip)
+            node = _Node(tag, self.open[-1], hard, soft, len(self.nodes))
+            self.nodes.append(node)
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close(self, tag, stop=()):
-        node = self.node
-        while node.parent is not None and node.tag != tag:
-            if node.tag in stop:
-                return False
-            node = node.parent
-        if node.parent is None:
-            return False
-        if self.node.skip != node.parent.skip or tag not in INLINE:
+    def _close(self, tag, stops=()):
+        """Close the innermost open element of a tag and what is open in it, unless a stop lies between."""
+        places = self.places
+        if not places.get(tag):
+            return
+        at = places[tag][-1]
+        if any(places.get(x) and places[x][-1] > at for x in stops):
+            return
+        if tag not in INLINE or any(x.hard or x.soft for x in self.open[at:]):
             self.cut()
-        self.node = node.parent
-        return True
+        for node in self.open[at:]:
+            places[node.tag].pop()
+        del self.open[at:]
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -119,20 +147,23 @@ class _Lines(HTMLParser):
             self.cut()
         if tag not in VOID:
             # an inline end tag does not close the block around it
-            self._close(tag, stop=() if tag not in INLINE else tuple(_ENDS_P))
+            self._close(tag, _ENDS_P if tag in INLINE else ())
 
     def handle_data(self, data):
         if not self.parts:
             if data.isspace():
                 return
-            self.owner = self._block()
+            self.owner = self.open[-1]
         self.parts.append(data)
 
-    def _block(self):
-        node = self.node
-        while node.parent is not None and node.tag in INLINE and node.skip == node.parent.skip:
-            node = node.parent
-        return node
+    def settle(self):
+        """Say of each element whether it is excluded, and which elements it holds."""
+        for node in reversed(self.nodes[1:]):
+            up = node.parent
+            up.last = max(up.last, node.last)
+            up.region = up.region or node.region
+        for node in self.nodes[1:]:
+            node.skip = node.parent.skip or node.hard or (node.soft and not node.region)
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -169,6 +200,7 @@ def main_text(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.cut()
+    p.settle()
     lines = p.lines
     shown = [not owner.skip for _, _, owner in lines]
     if not any(shown):
@@ -177,30 +209,23 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratios)
     limit = threshold(smooth)
     content = [i for i, v in enumerate(smooth) if shown[i] and v >= limit] or [i for i, ok in enumerate(shown) if ok]
-    region = _region([(lines[i][2], len(lines[i][0])) for i in content])
-    return " ".join(text for (text, _, owner), ok in zip(lines, shown, strict=True) if ok and _within(owner, region))
-
-
-def _within(node: _Node, region: _Node) -> bool:
-    while node.depth > region.depth:
-        node = node.parent
-    return node is region
+    region = _region(p.nodes, [(lines[i][2], len(lines[i][0])) for i in content])
+    return " ".join(text for (text, _, owner), ok in zip(lines, shown, strict=True) if ok and region.number <= owner.number <= region.last)
 
 
-def _region(content: list[tuple[_Node, int]], share: float = 0.8) -> _Node:
+def _region(nodes: list[_Node], content: list[tuple[_Node, int]], share: float = 0.8) -> _Node:
     """The article or main element with the most content; else the innermost element with `share` of it."""
-    mass: dict[_Node, int] = {}
-    total = 0
+    mass = [0] * len(nodes)
     for node, n in content:
-        total += n
-        while node is not None:
-            mass[node] = mass.get(node, 0) + n
-            node = node.parent
-    named = [x for x in mass if x.tag in REGIONS and 2 * mass[x] >= total]
+        mass[node.number] += n
+    for node in reversed(nodes[1:]):
+        mass[node.parent.number] += mass[node.number]
+    total = mass[0]
+    named = [x for x in nodes if x.tag in REGIONS and 2 * mass[x.number] >= total]
     if named:
-        return max(named, key=lambda x: (x.tag == "article", mass[x], x.depth))
-    held = [x for x in mass if mass[x] >= share * total]
-    best = max(held, key=lambda x: x.depth)
+        return max(named, key=lambda x: (x.tag == "article", mass[x.number], x.number))
+    # those that hold so much lie within each other: the last one is the innermost
+    best = max((x for x in nodes if mass[x.number] >= share * total), key=lambda x: x.number)
     # a single paragraph or heading is not a region: its container is
     while best.parent is not None and best.tag not in ("div", "section", "td", "body", "html", ""):
         best = best.parent

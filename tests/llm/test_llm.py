@@ -194,6 +194,37 @@ def test_html_extraction(spark):
     assert sorted((r.text, r.n_chars) for r in html_extract.extracted(pages).collect()) == sorted([("", 0), (want, len(want)), (want, len(want))])
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-menu", "page-header-fixed", "form-page", "social-science", "related-work", "sidebar", "content header"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_layout_classes_do_not_hide_the_article(name, inner):
+    body = "<h1>Title</h1><p>One paragraph with quite a few words in it, as articles have.</p><p>Short.</p><p>And a last one, which has many words too, so that it counts.</p>"
+    page = f'<html><body><div class="menu-list">Home News</div><div class="{name}"><{inner}>{body}</{inner}></div><div id="footer">c</div></body></html>'
+    want = "Title One paragraph with quite a few words in it, as articles have. Short. And a last one, which has many words too, so that it counts."
+    if inner == "div" and name in ("sidebar", "content header"):  # nothing says that this one is the article
+        want = ""
+    assert html_extract.main_text(page).removeprefix("c").strip() == want
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "ad-box", "site-footer", "comments-list", "sidebar", "nav_bar"])
+def test_html_named_parts_are_left_out(name):
+    text = "Words of the article, which is long enough to be one, and goes on for a while."
+    assert html_extract.main_text(f'<body><article><p>{text}</p><div class="x {name}">a b c d e f g h i j k l m n</div><p>{text}</p></article></body>') == f"{text} {text}"
+
+
+def test_html_of_any_depth_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    text = "some text of the page that is long enough"
+    for page in ("<div>" * 50_000 + f"<p>{text}", "<b>" * 50_000 + f"{text}" + "</i>" * 50_000, "<p>" * 50_000 + text, f"<div><p>{text}</p>" * 20_000):
+        assert html_extract.main_text(page).startswith(text)
+    assert time.perf_counter() - began < 30
+
+
+def test_html_of_an_empty_table(spark):
+    assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_smoothing_and_threshold():
     assert html_extract.smoothed([3.0] * 9) == pytest.approx([3.0] * 9)
     assert 1 < html_extract.threshold([0, 1, 1, 9, 10]) < 9
