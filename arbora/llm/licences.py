@@ -1,18 +1,25 @@
-"""License scans: lines and whole texts against licence templates by Dice over word bigrams.
-
-A unit is a line of a text, or the whole of a text of several lines. It is
-normalised (lower case, letters and digits only) to words and then to its set
-of word bigrams. With a threshold t, units of a bigrams can match a template
-of b only if t/(2-t) <= a/b <= (2-t)/t; the bounds over all templates prune
-most units before their bigrams are exploded, and the bounds of each template
-prune the pairs of the equi-join on bigrams. DataFrame functions only; the
-counts of a unit are folded within its task before the only shuffle.
-
-Defined cases: null and empty texts have no units; units of fewer than two
-words have no bigrams and match nothing; of equal coefficients the licence
-whose id comes first wins; repeated rows are scanned row by row; an empty
-table or no templates give rows without a licence or an empty result; further
-columns are ignored.
+"""License scans: windows of a text against licence templates by Dice over word bigrams.
+
+Texts and templates are normalised (lower case, letters and digits only) to
+words. The bigrams of a text meet the bigrams of the templates in a broadcast
+join; what remains are hits (position, bigram) by document and template. With
+a threshold t, a text can only match a template of b bigrams if it has
+b * t / (2 - t) of them at least: this size bound prunes templates by the size
+of the text before the join, and nearly all candidates by their number of
+different hits after it. Of each candidate every window that starts at a hit
+and is as long as the template is compared: it ends with the last hit in it,
+its set has the different hits and all other positions, and its coefficient is
+2 * common / (its size + b). So notices are found that are wrapped over lines,
+stand inside longer lines, or are long texts themselves. DataFrame functions
+only; the hits of a document are folded within its task before the only
+shuffle, which is dealt by document and cannot be skewed by a common licence.
+
+Defined cases: null and empty texts, and texts of fewer than two words, have
+no bigrams and match nothing; of equal coefficients the licence whose id comes
+first wins; a licence with several templates counts once; repeated rows are
+scanned row by row; an empty table or no templates give an empty result or
+rows without a licence; further columns are ignored. Bigrams are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,23 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import fits_broadcast, table
+from arbora.llm.licence_texts import TEMPLATES
 
 DICE = 0.8
-#: Most templates whose bigrams are broadcast; more are joined by shuffle.
+#: Most templates whose bigrams are broadcast (a few hundred each); more are joined by shuffle.
 TEMPLATES_BROADCAST = 2_000
-#: (licence, notice) of the registered query.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
 
 
 def words_of(text: Column) -> Column:
@@ -46,40 +41,50 @@ def words_of(text: Column) -> Column:
 
 
 def bigrams(words: str) -> Column:
-    """Distinct bigrams of a column of words, as 64-bit hashes.
+    """The bigrams of a column of words in order, as 64-bit hashes.
 
     words must be a column and not an expression, which a lambda would compute
-    for each element; and Spark compares arrays of strings pair by pair, but
-    arrays of longs by hash set.
+    for each element.
     """
-    return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1))))
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+
+
+def _windows(hits: str, width: Column, size: Column) -> Column:
+    """The greatest coefficient of the windows that start at each of the hits (sorted array of (at, gram))."""
+
+    def value(x, i):
+        inside = F.filter(F.slice(F.col(hits), i + 1, width), lambda y: y["at"] < x["at"] + width)
+        common = F.size(F.array_distinct(F.transform(inside, lambda y: y["gram"])))
+        span = F.element_at(inside, -1)["at"] - x["at"] + 1
+        return 2.0 * common / (span - F.size(inside) + common + size)
+
+    return F.array_max(F.transform(hits, value))
 
 
 def scanned(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE) -> DataFrame:
-    """Per row of docs: id, licence (best match or null), dice, n_matches (units and licences that match).
+    """Per row of docs: id, licence (best match or null), dice, n_matches (licences that match).
 
     templates: (licence string, notice string).
     """
-    known = templates.select("licence", words_of(F.col("notice")).alias("words")).select("licence", bigrams("words").alias("g")).select("licence", F.size("g").alias("t_size"), F.explode("g").alias("gram"))
-    low, high = known.agg(F.min("t_size"), F.max("t_size")).first()
-    ratio = (2 - dice) / dice
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.split("text", "\n", -1)
-    units = base.select("row", "id", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
-    worded = units.select("row", "id", "unit", words_of(F.col("line")).alias("words"))
-    sized = worded.select("row", "id", "unit", bigrams("words").alias("g")).withColumn("size", F.size("g"))
-    near = F.explode_outer(F.when((F.col("size") * ratio >= (low or 0)) & (F.col("size") <= (high or 0) * ratio), F.col("g"))).alias("gram")
-    spread = sized.select("row", "id", "unit", "size", near)
-    bounds = (F.col("size") * ratio >= F.col("t_size")) & (F.col("t_size") * ratio >= F.col("size"))
-    right = known.withColumnRenamed("gram", "t_gram")
-    right = F.broadcast(right) if fits_broadcast(templates, TEMPLATES_BROADCAST) else right
-    pairs = spread.join(right, (spread.gram == right.t_gram) & bounds, "left")
-    shared = pairs.groupBy("row", "id", "unit", "size", "licence", "t_size").agg(F.count("t_gram").alias("common"))
-    value = 2.0 * F.col("common") / (F.col("size") + F.col("t_size"))
-    match = F.when(F.col("licence").isNotNull() & (value >= dice), value)
-    scored = shared.select("row", "id", "licence", match.alias("dice"))
-    top = scored.groupBy("row", "id").agg(F.max("dice").alias("dice"), F.count("dice").alias("n_matches"), F.min(F.when(F.col("dice").isNotNull(), F.struct((-F.col("dice")).alias("least"), "licence"))).alias("best"))
-    return top.select(F.col("id").alias(id_col), F.col("best.licence").alias("licence"), "dice", "n_matches")
+    least = dice / (2 - dice)
+    cut = templates.select("licence", F.col("notice").alias("notice"), words_of(F.col("notice")).alias("words")).filter(F.size("words") > 1)
+    known = cut.select("licence", F.xxhash64("licence", "notice").alias("template"), bigrams("words").alias("g")).dropDuplicates(["template"])
+    known = known.select("licence", "template", F.size("g").alias("width"), F.size(F.array_distinct("g")).alias("t_size"), F.explode(F.array_distinct("g")).alias("t_gram"))
+    known = F.broadcast(known) if fits_broadcast(templates, TEMPLATES_BROADCAST) else known
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    grams = base.select("row", "id", bigrams("words").alias("g"))
+    spread = grams.select("row", "id", F.size("g").alias("size"), F.posexplode("g").alias("at", "gram"))
+    met = spread.join(known, (F.col("gram") == F.col("t_gram")) & (F.col("size") >= F.col("t_size") * least))
+    hit = F.struct("at", "gram").alias("hit")
+    # a row's own hits: bounded by its text
+    found = met.groupBy("row", "licence", "template", "width", "t_size").agg(F.collect_list(hit).alias("hits"))
+    likely = found.filter(F.size(F.array_distinct(F.transform("hits", lambda h: h["gram"]))) >= F.col("t_size") * least)
+    sorted_hits = likely.select("row", "licence", "width", "t_size", F.array_sort("hits").alias("hits"))
+    scored = sorted_hits.select("row", "licence", _windows("hits", F.col("width"), F.col("t_size")).alias("dice")).filter(F.col("dice") >= dice)
+    by_licence = scored.groupBy("row", "licence").agg(F.max("dice").alias("dice"))
+    top = by_licence.groupBy("row").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("least"), "licence")).alias("best"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    return rows.join(top, "row", "left").select(F.col("id").alias(id_col), F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("dice"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,32 +92,39 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"), spark.createDataFrame(TEMPLATES, "licence string, notice string"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 SQL = {
     "op8_licence_scan": """
-WITH t(licence, notice) AS (VALUES %s),
-u0 AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS text FROM documents),
-u1 AS (
-  SELECT doc_id, CASE WHEN len(ls) > 1 THEN list_append(ls, text) ELSE ls END AS us FROM u0),
-u AS (
-  SELECT doc_id, unit, us[unit] AS line FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS unit FROM u1)),
-w AS (
-  SELECT doc_id, unit, string_split(trim(regexp_replace(lower(line), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM u),
-g AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w),
+WITH t(template, licence, notice) AS (VALUES %s),
 tw AS (
-  SELECT licence, string_split(trim(regexp_replace(lower(notice), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM t),
+  SELECT template, licence, string_split(trim(regexp_replace(lower(notice), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM t),
+tl AS (
+  SELECT template, licence, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS g FROM tw),
 tg AS (
-  SELECT licence, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM tw),
+  SELECT template, licence, len(g) AS width, len(list_distinct(g)) AS b, unnest(list_distinct(g)) AS gram FROM tl),
+w AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9ß-öø-ÿ]+', ' ', 'g')), ' ') AS ws FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(1, len(ws))) AS pos, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM w),
+h AS (
+  SELECT g.doc_id, g.pos, g.gram, tg.template, tg.licence, tg.width, tg.b FROM g JOIN tg ON tg.gram = g.gram),
+c AS (
+  SELECT doc_id, template FROM h GROUP BY doc_id, template, b HAVING count(DISTINCT gram) >= b * (0.8::DOUBLE / 1.2::DOUBLE)),
+v AS (
+  SELECT x.doc_id, x.licence, 2.0::DOUBLE * count(DISTINCT y.gram) / (max(y.pos) - x.pos + 1 - count(*) + count(DISTINCT y.gram) + x.b) AS dice
+  FROM h x JOIN c ON c.doc_id = x.doc_id AND c.template = x.template
+  JOIN h y ON y.doc_id = x.doc_id AND y.template = x.template AND y.pos >= x.pos AND y.pos < x.pos + x.width
+  GROUP BY x.doc_id, x.template, x.licence, x.pos, x.b),
 m AS (
-  SELECT g.doc_id, tg.licence, 2.0::DOUBLE * len(list_intersect(g.g, tg.g)) / (len(g.g) + len(tg.g)) AS dice
-  FROM g JOIN tg ON len(g.g) * 1.5 >= len(tg.g) AND len(tg.g) * 1.5 >= len(g.g)),
-b AS (
+  SELECT doc_id, licence, max(dice) AS dice FROM v WHERE dice >= 0.8 GROUP BY doc_id, licence),
+k AS (
   SELECT doc_id, licence, dice, count(*) OVER (PARTITION BY doc_id) AS n,
-    row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) AS k
-  FROM m WHERE dice >= 0.8)
-SELECT d.doc_id, b.licence, b.dice, coalesce(b.n, 0) AS n_matches
-FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.k = 1
+    row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) AS k FROM m)
+SELECT d.doc_id, k.licence, k.dice, coalesce(k.n, 0) AS n_matches
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.k = 1
 """
-    % ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+    % ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))
 }

@@ -4,12 +4,16 @@ A text is cut into pre-tokens. The distinct pre-tokens of a batch are inserted
 in a trie of bytes; a depth-first walk computes, for each node, the best
 forward score of the prefix that it stands for and its number of tokens, once
 for all pre-tokens that share the prefix. Terminal nodes store the counts, and
-a text's count is the sum over its pre-tokens. The unigram scores are those of
+a text's count is the sum over its pre-tokens. Pre-tokens of more than LONG
+bytes, which hardly share prefixes, run through the same recurrence on their
+own, with the last few scores only, so that a run of millions of letters takes
+no more memory than its bytes. The unigram scores are those of
 a public vocabulary file under Zipf's law: the piece of rank r has the log
 probability -log(r + 2) + constant. Every single byte is a piece, so each text
 has a segmentation.
 
-Documents are only mapped over. A worker keeps the counts of the pre-tokens it
+Documents are only mapped over. The vocabulary file is read once through Spark
+and sent to the workers, each of which builds its tables once. A worker keeps the counts of the pre-tokens it
 has met, up to CACHE of them, and then starts afresh: that bounds memory and
 changes no count.
 
@@ -21,6 +25,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import math
 
 import pyarrow as pa
@@ -32,16 +37,20 @@ from arbora.llm.common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens whose counts a worker remembers.
 CACHE = 500_000
+#: Bytes from which a pre-token is counted outside the trie.
+LONG = 256
 #: A pre-token: words with a space before them, numbers, other signs, white space.
 PATTERN = rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+"
 
 
 class Vocabulary:
-    """Pieces of a rank file as a trie of bytes with scores."""
+    """Pieces of a rank file (its path or its bytes) as a trie of bytes with scores."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, file: str | bytes):
+        if isinstance(file, str):
+            with open(file, "rb") as f:
+                file = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line.strip())}
         self.scores = {piece: -math.log(rank + 2) for piece, rank in ranks.items()}
         self.longest = max(map(len, self.scores))
         floor = min(self.scores.values())
@@ -56,10 +65,40 @@ class Vocabulary:
             node[-1] = score
 
 
+@functools.lru_cache(maxsize=2)
+def _built(file: bytes) -> Vocabulary:
+    return Vocabulary(file)
+
+
+def _long_count(vocabulary: Vocabulary, pretoken: bytes) -> int:
+    """Token count of one pre-token; of the forward scores only as many are kept as a piece can look back."""
+    size = vocabulary.longest + 1
+    score, count = [0.0] * size, [0] * size  # by end modulo size
+    back = vocabulary.back
+    for end in range(1, len(pretoken) + 1):
+        best, fewest, piece, i = -math.inf, 0, back, end
+        while i:
+            piece = piece.get(pretoken[i - 1])
+            if piece is None:
+                break
+            i -= 1
+            s = piece.get(-1)
+            if s is not None:
+                s += score[i % size]
+                if s > best or (s == best and count[i % size] + 1 < fewest):
+                    best, fewest = s, count[i % size] + 1
+        score[end % size], count[end % size] = best, fewest
+    return count[len(pretoken) % size]
+
+
 def trie_counts(vocabulary: Vocabulary, pretokens) -> dict[bytes, int]:
     """Token count of each distinct pre-token; forward scores are computed once per shared prefix."""
     root: dict = {}
+    found: dict[bytes, int] = {}
     for t in pretokens:
+        if len(t) > LONG:
+            found[t] = _long_count(vocabulary, t)
+            continue
         node = root
         for b in t:
             nxt = node.get(b)
@@ -67,7 +106,6 @@ def trie_counts(vocabulary: Vocabulary, pretokens) -> dict[bytes, int]:
                 nxt = node[b] = {}
             node = nxt
         node[-1] = t
-    found: dict[bytes, int] = {}
     back = vocabulary.back
     path: list[int] = []
     score: list[float] = [0.0]
@@ -100,12 +138,14 @@ def trie_counts(vocabulary: Vocabulary, pretokens) -> dict[bytes, int]:
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, cache: int = CACHE) -> DataFrame:
-    """Per row of docs: id, n_bytes, n_pretokens, n_tokens. The vocabulary file must be readable on every executor."""
+    """Per row of docs: id, n_bytes, n_pretokens, n_tokens. vocabulary: the path of a rank file, which Spark reads."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0]))  # one vocabulary
 
     def run(batches):
         import re
 
-        vocab, cut = Vocabulary(vocabulary), re.compile(PATTERN).findall
+        vocab, cut = _built(sent.value), re.compile(PATTERN).findall
         known: dict[bytes, int] = {}
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]

@@ -252,27 +252,61 @@ def test_url_filter(spark):
 
 
 def test_licences(spark, store):
-    texts = [*ODD, "x\nLicensed under the Apache License, Version 2.0.\ny", "released UNDER the mit license", "Released under the license.\nLicensed under CC BY-NC 4.0", "foo bar baz"]
-    docs = store(texts).withColumn("size", F.lit("clash")).withColumn("licence", F.lit("clash"))
+    mit = next(x for name, x in licences.TEMPLATES if name == "MIT" and x.startswith("Permission") and "WARRANTY" in x)
+    gpl = next(x for name, x in licences.TEMPLATES if name == "GPL-3.0-or-later")
+    prose = words(random.Random(4), 300)
+    cases = [
+        ("x\nLicensed under the Apache License, Version 2.0.\ny", "Apache-2.0", 1.0),
+        ("released UNDER the mit license", "MIT", 1.0),
+        ("Released under the license.\nLicensed under CC BY-NC 4.0", "CC-BY-NC-4.0", 1.0),
+        ("foo bar baz", None, None),
+        (f"{prose} {mit} {prose}", "MIT", 1.0),
+        (prose + "\n# " + gpl.replace(" ", "\n# ", 12) + "\n" + prose, "GPL-3.0-or-later", 1.0),
+        (f"{prose} licensed under the apache license, version 2.0, as {prose}", "Apache-2.0", 1.0),
+        (mit.replace("Software", "Program"), "MIT", None),
+        ("the software " * 30_000, None, None),
+    ]
+    texts = [*ODD, *[c[0] for c in cases]]
+    docs = store(texts).withColumn("size", F.lit("clash")).withColumn("licence", F.lit("clash")).withColumn("row", F.lit("clash"))
     known = spark.createDataFrame(licences.TEMPLATES, "licence string, notice string")
     got = {r.doc_id: (r.licence, r.dice, r.n_matches) for r in licences.scanned(docs, known).collect()}
     n = len(ODD)
     assert len(got) == len(texts) and all(got[i] == (None, None, 0) for i in range(n))
-    assert got[n] == ("Apache-2.0", 1.0, 2) and got[n + 1] == ("MIT", 1.0, 1) and got[n + 2] == ("CC-BY-NC-4.0", 1.0, 1) and got[n + 3][0] is None
+    for i, (_, licence, dice) in enumerate(cases):
+        assert got[n + i][0] == licence and (dice is None or got[n + i][1] == dice), i
     assert licences.scanned(docs, known.limit(0)).filter("licence is null").count() == len(texts)
+    assert licences.scanned(docs.limit(0), known).count() == 0
+    assert licences.scanned(store(["Released under the MIT License."] * 3, ids=[1, 1, 1]), known).filter("licence = 'MIT'").count() == 3
 
 
 def test_token_counts(spark, store):
     import re
 
     vocab = token_counts.Vocabulary(token_counts.VOCABULARY)
-    texts = [*ODD, "The quick brown fox's 1234 jumps!!  over\n\nit", "naïve Straße 東京 ✓", "antidisestablishmentarianism"]
+    texts = [*ODD, "The quick brown fox's 1234 jumps!!  over\n\nit", "naïve Straße 東京 ✓", "antidisestablishmentarianism", "a" * 300 + " " * 700 + "é" * 400, "same text here"]
     for cache in (500_000, 5):
-        got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.counted(store(texts), cache=cache).collect()}
+        docs = store(texts).withColumn("n_tokens", F.lit("clash")).withColumn("id", F.lit("clash"))
+        got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.counted(docs, cache=cache).collect()}
         for i, t in enumerate(texts):
             parts = re.findall(token_counts.PATTERN, (t or "").encode())
             assert b"".join(parts) == (t or "").encode()
-            assert got[i] == (len(parts), sum(token_counts.brute_force(vocab, p) for p in parts if len(p) < 1000) + sum(token_counts.trie_counts(vocab, [p])[p] for p in parts if len(p) >= 1000))
+            assert got[i] == (len(parts), sum(token_counts.brute_force(vocab, p) for p in parts))
+    assert token_counts.counted(store(["a"]).limit(0)).count() == 0
+    assert [r.n_tokens for r in token_counts.counted(store(["x y", "x y"], ids=[3, 3])).collect()] == [2, 2]
+
+
+def test_token_counts_of_a_long_pretoken_in_bounded_memory():
+    import tracemalloc
+
+    vocab = token_counts.Vocabulary(token_counts.VOCABULARY)
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh") for _ in range(200_000)).encode()
+    tracemalloc.start()
+    found = token_counts.trie_counts(vocab, [long, long[:3000], b"abc"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5_000_000
+    assert found[long[:3000]] == token_counts.brute_force(vocab, long[:3000]) and found[b"abc"] == token_counts.brute_force(vocab, b"abc")
 
 
 def test_quality_on_held_out_labels(spark):
