@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 
 from arbora.functions.vectors import argmax
 from arbora.operators.model import tree_votes
-from arbora.operators.ranking import scrambled, stratified_folds
+from arbora.plans.lineage import cut
+from arbora.operators.ranking import scrambled, slots_of, stratified_folds, sums_before
+
+
+#: Most rows of a table of trees and attributes that is broadcast.
+BROADCAST_SIDES = 500_000
+
+
+def _sides(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is small: trees x attributes, or trees x pairs of them."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_SIDES else df
 
 
 def tree_scores(frame: DataFrame, nodes: DataFrame, classes: int, vector: str = "features") -> DataFrame:
@@ -53,9 +64,9 @@ def oob_error(frame: DataFrame, scores: DataFrame, bag: DataFrame, classes: int)
 def permutation_importance(frame: DataFrame, nodes: DataFrame, bag: DataFrame, classes: int, attributes: int, seed: int) -> DataFrame:
     """(attr, importance): out-of-bag error with a scrambled column less the error without."""
     base = oob_error(frame, tree_scores(frame, nodes, classes), bag, classes).withColumnRenamed("error", "base")
-    found = None
+    found, slots = None, slots_of(frame)
     for attr in range(attributes):
-        changed = oob_error(frame, tree_scores(scrambled(frame, attr, seed), nodes, classes), bag, classes).select(F.lit(attr).alias("attr"), "error")
+        changed = oob_error(frame, tree_scores(scrambled(frame, attr, seed, slots), nodes, classes), bag, classes).select(F.lit(attr).alias("attr"), "error")
         found = changed if found is None else found.unionByName(changed)
     return found.join(F.broadcast(base)).select("attr", (F.col("error") - F.col("base")).alias("importance"))
 
@@ -65,7 +76,7 @@ def dropout_importance(frame: DataFrame, scores: DataFrame, bag: DataFrame, subs
     outside = scores.join(bag.select("tree", "instance_id"), ["tree", "instance_id"], "left_anti")
     trees = scores.select("tree").distinct()
     sides = trees.select("tree", F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attr")).join(subset.withColumn("has", F.lit(1)), ["tree", "attr"], "left").withColumn("has", F.coalesce("has", F.lit(0)))
-    votes = _voted(frame, outside.join(F.broadcast(sides), "tree"), classes, ["attr", "has"])
+    votes = _voted(frame, outside.join(_sides(sides), "tree"), classes, ["attr", "has"])
     errors = error(votes, ["attr", "has"])
     return errors.groupBy("attr").agg((F.max(F.when(F.col("has") == 0, F.col("error"))) - F.max(F.when(F.col("has") == 1, F.col("error")))).alias("importance"))
 
@@ -74,10 +85,11 @@ def permutation_interaction(frame: DataFrame, nodes: DataFrame, bag: DataFrame,
     """(attr_i, attr_j, interaction): joint loss of two scrambled columns less their single losses."""
     single = permutation_importance(frame, nodes, bag, classes, attributes, seed)
     base = oob_error(frame, tree_scores(frame, nodes, classes), bag, classes).withColumnRenamed("error", "base")
-    found = None
+    found, slots = None, slots_of(frame)
     for i in range(attributes):
+        one_moved = cut(scrambled(frame, i, seed, slots)) if i + 1 < attributes else frame
         for j in range(i + 1, attributes):
-            both = scrambled(scrambled(frame, i, seed), j, seed)
+            both = scrambled(one_moved, j, seed, slots)
             changed = oob_error(frame, tree_scores(both, nodes, classes), bag, classes).select(F.lit(i).alias("attr_i"), F.lit(j).alias("attr_j"), "error")
             found = changed if found is None else found.unionByName(changed)
     one = lambda c, x: single.select(F.col("attr").alias(c), F.col("importance").alias(x))
@@ -92,7 +104,7 @@ def dropout_interaction(frame: DataFrame, scores: DataFrame, bag: DataFrame, sub
     has = lambda c: F.array_contains(F.coalesce("attrs", F.array().cast("array<int>")), F.col(c)).cast("int")
     sides = known.select("tree", "attrs", pairs.alias("p")).select("tree", "attrs", F.col("p.i").alias("attr_i"), F.col("p.j").alias("attr_j")).select("tree", "attr_i", "attr_j", has("attr_i").alias("has_i"), has("attr_j").alias("has_j"))
     by = ["attr_i", "attr_j", "has_i", "has_j"]
-    errors = error(_voted(frame, outside.join(F.broadcast(sides), "tree"), classes, by), by)
+    errors = error(_voted(frame, outside.join(_sides(sides), "tree"), classes, by), by)
     e = lambda i, j: F.max(F.when((F.col("has_i") == i) & (F.col("has_j") == j), F.col("error")))
     return errors.groupBy("attr_i", "attr_j").agg(((e(0, 0) - e(1, 1)) - (e(0, 0) - e(1, 0)) - (e(0, 0) - e(0, 1))).alias("interaction"))
 
@@ -110,8 +122,7 @@ def auc(frame: DataFrame, score: str | Column, positive: Column) -> DataFrame:
     """
     score = F.col(score) if isinstance(score, str) else score
     counts = frame.select(score.alias("score"), positive.cast("bigint").alias("pos")).groupBy("score").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = counts.select("p", "n", below.alias("below"))
+    pairs = sums_before(counts, [], "score", "n", "below")
     won = F.sum(F.col("p") * F.col("below") + F.col("p") * F.col("n") / 2.0)
     return pairs.agg(F.try_divide(won, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
@@ -123,9 +134,8 @@ def weighted_auc(scored: DataFrame, classes: int) -> DataFrame:
     """
     rows = scored.select("label", "weight", F.posexplode("distribution").alias("cls", "score"))
     counts = rows.groupBy("cls", "score").agg(F.sum(F.when(F.col("label") == F.col("cls"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != F.col("cls"), 1).otherwise(0)).alias("n"))
-    w = Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     won = F.sum(F.col("p") * F.col("below") + F.col("p") * F.col("n") / 2.0)
-    each = counts.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).groupBy("cls").agg(F.try_divide(won, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    each = sums_before(counts, ["cls"], "score", "n", "below").groupBy("cls").agg(F.try_divide(won, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
     priors = scored.groupBy(F.col("label").alias("cls")).agg(F.sum("weight").alias("prior"))
     known = each.join(priors, "cls").filter("auc is not null")
     return known.agg(F.try_divide(F.sum(F.col("auc") * F.col("prior")), F.sum("prior")).alias("auc"))

@@ -18,8 +18,9 @@ def instances(df: DataFrame, features: list[str | Column] | None = None, label:
         used = {str(x) for x in (label, weight, instance_id) if isinstance(x, str)}
         features = [c for c in df.columns if c not in used]
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    names = [f for f in features if isinstance(f, str)]
-    check_types(df.schema, names)
+    check_types(df.select(*[col(f).alias(f"{i}" if not isinstance(f, str) else f) for i, f in enumerate(features)]).schema)
+    if not isinstance(kind := df.select(col(label)).schema[0].dataType, T.NumericType | T.BooleanType):
+        raise TypeError(f"the class is not a number: {kind.simpleString()}; index_labels gives nominal classes one")
     return df.select(
         (col(instance_id) if instance_id is not None else F.monotonically_increasing_id()).cast("bigint").alias("instance_id"),
         F.array(*[(col(f).cast("float") + F.lit(0.0).cast("float")).cast("float") for f in features]).alias("features"),
@@ -28,11 +29,22 @@ def instances(df: DataFrame, features: list[str | Column] | None = None, label:
     )
 
 
-def check_types(schema: T.StructType, features: list[str]) -> None:
+def index_labels(df: DataFrame, label: str | None = None) -> tuple[DataFrame, list[str]]:
+    """df with a nominal (text or yes/no) class column as its 0-based index in sorted order, and the names; numeric classes stay."""
+    label = label or df.columns[-1]
+    if not isinstance(df.schema[label].dataType, T.StringType | T.BooleanType):
+        return df, []
+    text = F.col(label).cast("string")
+    names = sorted(r[0] for r in df.select(text.alias("c")).distinct().filter("c is not null").collect())  # a row a class
+    place = F.nullif(F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), text), F.lit(0)) - 1
+    return df.withColumn(label, place.cast("int")), names
+
+
+def check_types(schema: T.StructType) -> None:
     """Only numeric attributes are supported."""
-    for name in features:
-        if not isinstance(schema[name].dataType, T.NumericType | T.BooleanType):
-            raise TypeError(f"attribute {name} is not numeric: {schema[name].dataType.simpleString()}")
+    for found in schema.fields:
+        if not isinstance(found.dataType, T.NumericType | T.BooleanType):
+            raise TypeError(f"attribute {found.name} is not numeric: {found.dataType.simpleString()}")
 
 
 def attribute_kinds(schema: T.StructType, label: str) -> dict[str, int]:

@@ -1,8 +1,10 @@
 """Tree induction, all trees of a forest at once and level by level.
 
 The frontier is a table (tree, node, instance_id, features, label, w). Each
-level is one round of histogram, scan, choice and routing; the children of
-node i are 2i and 2i+1. The table is checkpointed once a level.
+level is one round of histogram, scan, choice and routing. The children of node
+i are 2i and 2i+1 down to depth HEAP_DEPTH; deeper nodes, whose numbers a long
+could not hold, are numbered level by level from 2**62 on. The table is
+checkpointed once a level.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from arbora.plans.params import ResolvedParams
 
 #: Most splits of a level that are broadcast for routing (about 40 bytes each).
 BROADCAST_SPLITS = 200_000
-#: Distinct values of a column from which its scan is dealt over several tasks.
-RANGED_FROM = 5_000_000
+#: Deepest nodes with the numbers of a heap.
+HEAP_DEPTH = 61
 
 NODE_COLUMNS = ["tree", "node", "depth", "attr", "split", "left", "right", "n_rows", "probs"]
 
@@ -77,6 +79,17 @@ def looks_fit(active: DataFrame) -> bool:
     return active.count() <= BROADCAST_SPLITS // 10
 
 
+def _children(chosen: DataFrame, depth: int, before: int) -> DataFrame:
+    """(tree, node, a, split, left, right) of a level's splits; before: nodes numbered from 2**62 on so far."""
+    left = F.col("node") * 2
+    if depth >= HEAP_DEPTH:
+        from pyspark.sql import Window
+
+        # a row a split: no more than there are nodes in the level
+        left = (F.row_number().over(Window.partitionBy("tree").orderBy("node")) - 1).cast("bigint") * 2 + F.lit((1 << 62) + before)
+    return chosen.select("tree", "node", F.col("attr").alias("a"), "split", left.alias("left")).withColumn("right", F.col("left") + 1)
+
+
 def grow(frame: DataFrame, bag: DataFrame, r: ResolvedParams, classes: int, attributes: int, subset: DataFrame | None = None, levels: int | None = None, ranged: bool | None = None) -> DataFrame:
     """The node table of a forest over frame (instance table) and bag (tree, instance_id, n_draws)."""
     p = r.params
@@ -84,29 +97,29 @@ def grow(frame: DataFrame, bag: DataFrame, r: ResolvedParams, classes: int, attr
     if levels is not None:
         limit = min(limit, levels)
     rows = cut(frontier(frame, bag))
-    if ranged is None:
-        ranged = frame.count() > RANGED_FROM
-    out = None
+    ranged = p.ranged if ranged is None else ranged
+    out, deep = None, 0
     for depth in range(limit + 1):
         stats = cut(node_stats(rows, classes))
         active = stats.filter((F.col("n_rows") >= 2) & ~_pure(classes, p.criterion)) if depth < limit else stats.limit(0)
         chosen = choose_splits(rows, active, r, classes, attributes, subset, ranged) if depth < limit and active.limit(1).count() else None
         level = stats.withColumn("depth", F.lit(depth))
         if chosen is not None:
-            level = level.join(chosen.withColumnRenamed("attr", "a"), ["tree", "node"], "left")
+            to = _children(chosen, depth, deep)
+            level = level.join(to, ["tree", "node"], "left")
         else:
-            level = level.select("*", F.lit(None).cast("int").alias("a"), F.lit(None).cast("double").alias("split"))
+            level = level.select("*", F.lit(None).cast("int").alias("a"), F.lit(None).cast("double").alias("split"), *[F.lit(None).cast("bigint").alias(c) for c in ("left", "right")])
         inner = F.col("a").isNotNull()
         nodes = level.select(
             "tree", "node", "depth", F.coalesce("a", F.lit(-1)).alias("attr"), "split",
-            F.when(inner, F.col("node") * 2).alias("left"), F.when(inner, F.col("node") * 2 + 1).alias("right"), "n_rows", F.when(~inner, leaf_vector(classes)).alias("probs"),
+            "left", "right", "n_rows", F.when(~inner, leaf_vector(classes)).alias("probs"),
         )
         out = nodes if out is None else out.unionByName(nodes)
         n = chosen.count() if chosen is not None else 0
         if not n:
             break
-        to = chosen.select("tree", "node", F.col("attr").alias("a"), "split")
+        deep += 2 * n if depth >= HEAP_DEPTH else 0
         moved = rows.join(F.broadcast(to) if n <= BROADCAST_SPLITS else to, ["tree", "node"])
-        goes = F.when(F.element_at("features", F.col("a") + 1).cast("double") < F.col("split"), 0).otherwise(1)
-        rows = cut(moved.select("tree", (F.col("node") * 2 + goes).alias("node"), "instance_id", "features", "label", "w"))
+        goes = F.when(F.element_at("features", F.col("a") + 1).cast("double") < F.col("split"), F.col("left")).otherwise(F.col("right"))
+        rows = cut(moved.select("tree", goes.alias("node"), "instance_id", "features", "label", "w"))
     return cut(out)

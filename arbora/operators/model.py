@@ -14,7 +14,7 @@ from arbora.operators import bagging, features as feats
 from arbora.operators.grow import NODE_COLUMNS, grow
 from arbora.plans.params import ForestParams, resolve
 
-#: Most nodes that are packed into one broadcast row; beyond, rows are scored by joins.
+#: Most nodes that are packed into one broadcast row; larger forests are scored in chunks of whole trees.
 PACKED_NODES = 200_000
 
 _PACKED = "array<struct<tree:int,attr:array<int>,split:array<double>,left:array<int>,right:array<int>,probs:array<array<double>>>>"
@@ -52,22 +52,51 @@ def leaf_slot(tree: Column, x: Column, depth: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
 
 
-def tree_votes(frame: DataFrame, nodes: DataFrame, vector: str, classes: int) -> DataFrame:
-    """frame and votes: array of (tree, probs), the leaf vector of each tree."""
-    size = nodes.agg(F.count(F.lit(1)), F.max("depth")).first()
-    if size[0] <= PACKED_NODES:
-        forest = F.broadcast(packed(nodes))  # one row of a checked size
-        votes = F.transform("forest", lambda t: F.struct(t["tree"].alias("tree"), F.get(t["probs"], leaf_slot(t, F.col(vector), size[1] or 0)).alias("probs")))
-        return frame.join(forest).withColumn("votes", votes).drop("forest")
-    # large forests: one equi-join for each level
-    rows = frame.withColumn("_row", F.monotonically_increasing_id())
-    at = rows.select("_row", vector).join(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(1).cast("bigint"))
-    table = nodes.select("tree", "node", "attr", "split", "probs")
-    for _ in range(size[1] or 0):
-        goes = F.when(F.col("attr") < 0, F.col("node")).when(F.get(F.col(vector), F.col("attr")) < F.col("split"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
+def tree_chunks(nodes: DataFrame, limit: int) -> tuple[list[tuple[list[int], int]], list[int], int]:
+    """(chunks of trees with limit nodes at most and their depths, trees that are larger, the greatest depth)."""
+    sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth")).orderBy("tree").collect()  # a row a tree
+    chunks: list[tuple[list[int], int]] = []
+    room, large = 0, []
+    for r in sizes:
+        if r.n > limit:
+            large.append(r.tree)
+        elif chunks and r.n <= room:
+            chunks[-1] = (chunks[-1][0] + [r.tree], max(chunks[-1][1], r.depth))
+            room -= r.n
+        else:
+            chunks.append(([r.tree], r.depth))
+            room = limit - r.n
+    return chunks, large, max((r.depth for r in sizes), default=0)
+
+
+def tree_votes(frame: DataFrame, nodes: DataFrame, vector: str, classes: int, limit: int | None = None) -> DataFrame:
+    """frame and votes: array of (tree, probs), the leaf vector of each tree.
+
+    Trees are packed in chunks of at most `limit` nodes, each broadcast as one
+    row and scored by an expression, so that rows are never shuffled. Only a
+    tree that is larger on its own is walked by equi-joins, one a level.
+    """
+    limit = PACKED_NODES if limit is None else limit
+    chunks, large, deepest = tree_chunks(nodes, limit)
+    whole = len(chunks) == 1 and not large
+    out = frame.withColumn("votes", F.array().cast("array<struct<tree:int,probs:array<double>>>"))
+
+    def chunk_votes(depth: int) -> Column:
+        return F.transform("forest", lambda t: F.struct(t["tree"].alias("tree"), F.get(t["probs"], leaf_slot(t, F.col(vector), depth)).alias("probs")))
+
+    for trees, depth in chunks:
+        forest = F.broadcast(packed(nodes if whole else nodes.filter(F.col("tree").isin(trees))))  # one row of a checked size
+        out = out.join(forest).withColumn("votes", chunk_votes(depth) if whole else F.concat("votes", chunk_votes(depth))).drop("forest")
+    if not large:
+        return out if whole else out.withColumn("votes", F.array_sort("votes"))
+    rows = out.withColumn("_row", F.monotonically_increasing_id())
+    at = rows.select("_row", vector, F.explode(F.array(*map(F.lit, large))).alias("tree")).withColumn("node", F.lit(1).cast("bigint"))
+    table = nodes.filter(F.col("tree").isin(large)).select("tree", "node", "attr", "split", "left", "right", "probs")
+    for _ in range(deepest):
+        goes = F.when(F.col("attr") < 0, F.col("node")).when(F.get(F.col(vector), F.col("attr")) < F.col("split"), F.col("left")).otherwise(F.col("right"))
         at = at.join(table.drop("probs"), ["tree", "node"]).select("_row", vector, "tree", goes.alias("node"))
-    votes = at.join(table, ["tree", "node"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("tree", "probs"))).alias("votes"))
-    return rows.join(votes, "_row").drop("_row")
+    more = at.join(table, ["tree", "node"]).groupBy("_row").agg(F.collect_list(F.struct("tree", "probs")).alias("_more"))  # a vote a tree
+    return rows.join(more, "_row").withColumn("votes", F.array_sort(F.concat("votes", "_more"))).drop("_row", "_more")
 
 
 def vote_sum(votes: Column, classes: int) -> Column:
@@ -119,6 +148,7 @@ class ForestModel:
     rows: int = 0
     fallback: list[float] | None = None
     measures: dict[str, float] = field(default_factory=dict)
+    class_names: list[str] = field(default_factory=list)
 
     def distribution(self, frame: DataFrame, vector: str = "features") -> DataFrame:
         """frame and distribution: the votes summed over the trees, then normalised."""
@@ -138,21 +168,25 @@ class ForestModel:
 
     def describe(self) -> str:
         oob = self.measure("out_of_bag_error")
-        lines = [f"Random forest of {self.params.trees} trees ({self.params.criterion}), {self.classes} classes, {len(self.names)} attributes.", f"Maximum depth: {self.params.max_depth or 'unlimited'}."]
+        k = resolve(self.params, len(self.names) + 1).features if self.names else 0
+        lines = [f"Random forest of {self.params.trees} trees ({self.params.criterion}), {self.classes} classes, {len(self.names)} attributes, each node considering {k}."]
+        lines.append(f"Maximum depth: {self.params.max_depth or 'unlimited'}.")
         lines.append(f"Out-of-bag error: {100 * oob:.4f} %" if not math.isnan(oob) else "Out-of-bag error: not measured")
-        lines += [f"Importance of {k.removeprefix('importance:')}: {100 * v:.4f} %" for k, v in sorted(self.measures.items()) if k.startswith("importance:")]
+        for kind, title in (("importance", "Importance"), ("dropout_importance", "Dropout importance"), ("interaction", "Interaction"), ("dropout_interaction", "Dropout interaction")):
+            found = {name.removeprefix(f"{kind}:"): v for name, v in self.measures.items() if name.startswith(f"{kind}:")}
+            lines += [f"{title} of {name}: {100 * v:.4f} %" for name, v in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
         return "\n".join(lines)
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = {"params": asdict(self.params), "classes": self.classes, "names": self.names, "rows": self.rows, "fallback": self.fallback, "measures": self.measures}
+        meta = {"params": asdict(self.params), "classes": self.classes, "names": self.names, "rows": self.rows, "fallback": self.fallback, "measures": self.measures, "class_names": self.class_names}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ForestModel:
         meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-        return ForestModel(spark.read.parquet(f"{path}/nodes"), ForestParams(**meta["params"]), meta["classes"], meta["names"], meta["rows"], meta["fallback"], meta["measures"])
+        return ForestModel(spark.read.parquet(f"{path}/nodes"), ForestParams(**meta["params"]), meta["classes"], meta["names"], meta["rows"], meta["fallback"], meta["measures"], meta["class_names"])
 
 
 def indexed(frame: DataFrame) -> tuple[DataFrame, int]:

@@ -22,10 +22,31 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") ->
     return ordered.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + at + 1).drop("_at", "_part", "_before")
 
 
+def rank_within(df: DataFrame, key: str, order: list[Column | str], out: str = "rank") -> DataFrame:
+    """df with the 1-based position of each row among those of its key; few keys, and no task sorts a whole one."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col(key).alias("_key"), (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_others"))  # a row a key
+    ranked = global_rank(df, [key, *order], out)
+    return ranked.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_key"))).withColumn(out, F.col(out) - F.col("_others")).drop("_key", "_others")
+
+
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """df with the sum of a value over the rows of the same keys that come before: by ranges of the order, with carried sums."""
+    ordered = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    parts = ordered.groupBy(*keys, "_part").agg(F.sum(value).alias("_own"))
+    across = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")  # a row a key and range
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), (F.sum("_own").over(across) - F.col("_own")).alias("_carried"))
+    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ordered.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return local.join(parts, same).withColumn(out, F.col(out) + F.col("_carried")).drop("_part", "_of", "_carried", *[f"_{k}" for k in keys])
+
+
 def argsort(long: DataFrame) -> DataFrame:
     """(instance_id, attr, value, rank): stable positions by value within each attribute."""
-    w = Window.partitionBy("attr").orderBy("value", "instance_id")
-    return long.select("instance_id", "attr", "value", F.row_number().over(w).alias("rank"))
+    return rank_within(long.select("instance_id", "attr", "value"), "attr", ["value", "instance_id"]).select("instance_id", "attr", "value", "rank")
 
 
 def permutation(n: int, seed: int, spark) -> DataFrame:
@@ -34,10 +55,15 @@ def permutation(n: int, seed: int, spark) -> DataFrame:
     return global_rank(ids.withColumn("h", hashed("perm", seed, F.col("i"))), ["h", "i"], "position").select("i", (F.col("position") - 1).alias("position"))
 
 
-def scrambled(frame: DataFrame, attr: int, seed: int) -> DataFrame:
-    """frame with the values of one attribute permuted among its rows."""
+def slots_of(frame: DataFrame) -> DataFrame:
+    """(instance_id, slot): the rows in the order of their ids; written, to be used for several permutations."""
+    return cut(global_rank(frame.select("instance_id"), ["instance_id"], "slot"))
+
+
+def scrambled(frame: DataFrame, attr: int, seed: int, slots: DataFrame | None = None) -> DataFrame:
+    """frame with the values of one attribute permuted among its rows. slots: slots_of(frame), if known."""
     ids = frame.select("instance_id", F.element_at("features", attr + 1).alias("v"), hashed("scramble", seed, attr, F.col("instance_id")).alias("h"))
-    slots = global_rank(ids.select("instance_id"), ["instance_id"], "slot")
+    slots = slots_of(frame) if slots is None else slots
     source = global_rank(ids, ["h", "instance_id"], "slot").select("slot", F.col("v").alias("new_value"))
     moved = slots.join(source, "slot").select("instance_id", "new_value")
     value = F.transform("features", lambda x, i: F.when(i == attr, F.col("new_value")).otherwise(x))
@@ -46,8 +72,8 @@ def scrambled(frame: DataFrame, attr: int, seed: int) -> DataFrame:
 
 def stratified_folds(frame: DataFrame, folds: int, seed: int) -> DataFrame:
     """(instance_id, label, fold): rows dealt out in hash order within each class."""
-    w = Window.partitionBy("label").orderBy(hashed("fold", seed, F.col("instance_id")), "instance_id")
-    return frame.select("instance_id", "label", ((F.row_number().over(w) - 1) % folds).cast("int").alias("fold"))
+    rows = frame.select("instance_id", "label", hashed("fold", seed, F.col("instance_id")).alias("_h"))
+    return rank_within(rows, "label", ["_h", "instance_id"], "_place").select("instance_id", "label", ((F.col("_place") - 1) % folds).cast("int").alias("fold"))
 
 
 def node_attr_order(nodes: DataFrame, attributes: int, seed: int) -> DataFrame:

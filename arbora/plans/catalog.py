@@ -294,7 +294,7 @@ def _grown(spark, sf_dir, depth, trees=TREES, k=2, criterion="gini", classes=2,
     r = type(r)(params, trees, k, subset or A)
     bag = frame.select(F.lit(0).alias("tree"), "instance_id", F.lit(1).alias("n_draws")) if whole else cut(_bag(spark, sf_dir, trees, percent))
     attrs = bagging.tree_attributes(spark, trees, A, subset, SEED) if subset else None
-    return grow(frame, bag, r, classes, A, attrs)
+    return grow(frame, bag, r, classes, A, attrs, ranged=False)
 
 
 def _node_rows(nodes, classes=2, digits=None):
@@ -437,16 +437,16 @@ def _renamed(ctes: str, suffix: str) -> str:
     return ctes
 
 
-def _importance_ctes(pairs: bool = False) -> str:
-    parts = [_OOB_BASE, sql.reached("base", "fixed", 2, "features"), _oob_sql("leaf"), f"e0 AS MATERIALIZED (SELECT {_ERROR} AS e FROM v)"]
+def _importance_ctes(pairs: bool = False, base: str = _OOB_BASE, nodes: str = "fixed") -> str:
+    parts = [base, sql.reached("base", nodes, 2, "features"), _oob_sql("leaf"), f"e0 AS MATERIALIZED (SELECT {_ERROR} AS e FROM v)"]
     for a in range(A):
-        parts += [_scrambled_sql("base", f"moved{a}", a), _renamed(sql.reached(f"moved{a}", "fixed", 2, "features"), f"s{a}"), _oob_sql(f"leaf_s{a}", f"v{a}")]
+        parts += [_scrambled_sql("base", f"moved{a}", a), _renamed(sql.reached(f"moved{a}", nodes, 2, "features"), f"s{a}"), _oob_sql(f"leaf_s{a}", f"v{a}")]
     parts.append("imp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {a} AS attr, {_ERROR} - (SELECT e FROM e0) AS importance FROM v{a}" for a in range(A)) + ")")
     if pairs:
         each = []
         for i in range(A):
             for j in range(i + 1, A):
-                parts += [_scrambled_sql(f"moved{i}", f"moved{i}{j}", j), _renamed(sql.reached(f"moved{i}{j}", "fixed", 2, "features"), f"s{i}{j}"), _oob_sql(f"leaf_s{i}{j}", f"v{i}{j}")]
+                parts += [_scrambled_sql(f"moved{i}", f"moved{i}{j}", j), _renamed(sql.reached(f"moved{i}{j}", nodes, 2, "features"), f"s{i}{j}"), _oob_sql(f"leaf_s{i}{j}", f"v{i}{j}")]
                 each.append(f"SELECT {i} AS attr_i, {j} AS attr_j, {_ERROR} - (SELECT e FROM e0) - (SELECT importance FROM imp WHERE attr = {i}) - (SELECT importance FROM imp WHERE attr = {j}) AS interaction FROM v{i}{j}")
         parts.append("inter AS (" + " UNION ALL ".join(each) + ")")
     return "WITH " + ",\n".join(parts)
@@ -562,6 +562,52 @@ def run_means(spark, sf_dir):
     return found.select("dataset", *[F.round(c, 6).alias(c) for c in ("a", "b")])
 
 
+# --- fitted forests and their measures ---------------------------------------------
+
+#: What ForestParams() resolve to for four attributes: three at a node.
+_FITTED = sql.forest(fx.ORDERS_SQL, TREES, 3, 2, SEED).removeprefix("WITH ")
+
+
+def _fitted(spark, sf_dir, **flags) -> tuple[model.ForestModel, DataFrame]:
+    return model.fit(fx.orders_frame(spark, sf_dir), ForestParams(trees=TREES, seed=SEED, max_depth=2, criterion="gini", ranged=False, **flags), fx.NAMES)
+
+
+@query(f"WITH {_FITTED}, {sql.reached('base', 'nodes', 2, 'features')}, {_oob_sql('leaf')} SELECT round({_ERROR}, 9) AS error FROM v")
+def fit_oob_error(spark, sf_dir):
+    """The out-of-bag error that fit measures."""
+    fitted, _ = _fitted(spark, sf_dir, out_of_bag=True)
+    return spark.createDataFrame([(round(fitted.measure("out_of_bag_error"), 9),)], "error double")
+
+
+_NAMED = "CASE attr " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(fx.NAMES)) + " END"
+
+
+@query(f"{_importance_ctes(base=_FITTED, nodes='nodes')} SELECT {_NAMED} AS name, round(importance, 9) AS importance FROM imp")
+def fit_importances(spark, sf_dir):
+    """The permutation importances that fit measures, by the names of the attributes."""
+    fitted, _ = _fitted(spark, sf_dir, importances=True)
+    return spark.createDataFrame([(n, round(fitted.measure(f"importance:{n}"), 9)) for n in fx.NAMES], "name string, importance double")
+
+
+@query(f"WITH {_FITTED}, {sql.reached('base', 'nodes', 2, 'raw')} SELECT instance_id, round(sum(p1) / sum(p0 + p1), 9) AS p1, CASE WHEN sum(p1) > sum(p0) THEN 1 WHEN sum(p0) > 0 THEN 0 END AS prediction FROM leaf GROUP BY instance_id")
+def fit_predict(spark, sf_dir):
+    """A fitted forest, scored in chunks of trees as one too large for a single broadcast is."""
+    fitted, _ = _fitted(spark, sf_dir)
+    voted = model.tree_votes(fx.price_is_double(spark, sf_dir), fitted.nodes, "raw", 2, limit=7)
+    share = vectors.normalised(model.vote_sum(F.col("votes"), 2))
+    return voted.select("instance_id", share.alias("d")).select("instance_id", F.round(F.get("d", F.lit(1)), 9).alias("p1"), vectors.classified(F.col("d")).alias("prediction"))
+
+
+@query()
+def cv_forest(spark, sf_dir):
+    """Three-fold cross-validation of a grown forest: rows, accuracy and AUC of each fold."""
+    frame = cut(fx.orders_frame(spark, sf_dir))
+    params = ForestParams(trees=TREES, seed=SEED, max_depth=2, criterion="gini", ranged=False)
+    scored = cut(evaluate.cross_validated(frame, lambda rows: model.fit(rows, params, fx.NAMES)[0], 3, SEED))
+    hit = (vectors.argmax(F.col("distribution")) == F.col("label")).cast("double")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.round(100 * F.avg(hit), 9).alias("pct_correct"))
+
+
 # --- whole forests (no SQL: too many levels to unroll) ----------------------------
 
 

@@ -21,7 +21,7 @@ def orders_frame(spark: SparkSession, sf_dir: str, classes: int = 2) -> DataFram
     """Orders: price, month, day, priority; class P or not, or F, O, P."""
     o = read(spark, sf_dir, "orders")
     label = (F.col("o_orderstatus") == "P").cast("int") if classes == 2 else F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2)
-    columns = [F.col(_PRICE), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.substring("o_orderpriority", 1, 1)]
+    columns = [F.col(_PRICE), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.substring("o_orderpriority", 1, 1).cast("float")]
     return instances(o, columns, label, None, "o_orderkey")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def hashed(*parts: str) -> str:
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"CAST('0x' || substr(md5(concat_ws(':', {inner})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws(':', {inner})), 1, 15) AS BIGINT)"
 
 
 def fast_log2(x: str) -> str:

@@ -28,6 +28,7 @@ class ForestParams:
     interactions: bool = False
     dropout_interactions: bool = False
     class_change: bool = True  # gini: only boundaries between rows of different classes
+    ranged: bool = True  # scan columns by ranges of values in parallel; off for small tables, where one task a column is faster
     threads: int = 0  # kept for compatibility; the cluster decides
 
     def __post_init__(self):
@@ -81,6 +82,9 @@ _OPTIONS = {
 }
 _FLAGS = {"-O": "out_of_bag", "-import": "importances", "-importNew": "dropout_importances", "-interactions": "interactions", "-interactionsNew": "dropout_interactions"}
 
+#: Flags that turn off what is on by default.
+_OFF = {"-noClassChange": "class_change", "-noRanges": "ranged"}
+
 
 def from_options(options: list[str], base: ForestParams | None = None) -> ForestParams:
     """Parse an option list; without -I it means 10 trees."""
@@ -92,6 +96,8 @@ def from_options(options: list[str], base: ForestParams | None = None) -> Forest
             found[_FLAGS[name]] = True
         elif name in _OPTIONS and rest:
             found[_OPTIONS[name]] = int(rest.pop(0))
+        elif name in _OFF:
+            found[_OFF[name]] = False
         elif name == "-criterion" and rest:
             found["criterion"] = rest.pop(0)
         else:
@@ -107,4 +113,5 @@ def to_options(params: ForestParams) -> list[str]:
         if name != "trees" and getattr(params, name) != default[name]:
             out += [option, str(getattr(params, name))]
     out += [option for option, name in _FLAGS.items() if getattr(params, name)]
+    out += [option for option, name in _OFF.items() if not getattr(params, name)]
     return out + (["-criterion", params.criterion] if params.criterion != default["criterion"] else [])

@@ -17,7 +17,7 @@ SCHEMA = "instance_id long, features array<float>, label int, weight double"
 
 
 def hashed(*parts):
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
 def gini(c):
@@ -130,11 +130,34 @@ def test_packed_scoring_equals_joins_and_nan_goes_right(spark, monkeypatch):
     nodes = fx.fixed_nodes(spark)
     rows = lambda: sorted((r.instance_id, r.tree, tuple(r.probs)) for r in evaluate.tree_scores(frame, nodes, 2, "v").collect())
     packed = rows()
-    monkeypatch.setattr(model, "PACKED_NODES", 0)
-    assert rows() == packed
+    for limit in (0, 1, 3, 4):  # joins only; single leaves packed, others joined; chunks
+        monkeypatch.setattr(model, "PACKED_NODES", limit)
+        assert rows() == packed
+    plan = model.tree_votes(frame, nodes, "v", 2, limit=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MonotonicallyIncreasing" not in plan and "monotonically" not in plan  # no joins of rows
     assert (2, 0, (2.0, 0.5)) in packed
 
 
+def test_nodes_deeper_than_a_heap_can_number(spark, tied, monkeypatch):
+    _, frame = tied
+    params = ForestParams(trees=2, max_depth=5, criterion="gini", features=2, ranged=False)
+    usual, _ = model.fit(frame, params)
+    monkeypatch.setattr("arbora.operators.grow.HEAP_DEPTH", 1)
+    deep, _ = model.fit(frame, params)
+    assert deep.nodes.filter(f"depth = 2 and node < {1 << 62}").count() == 0
+    ids = deep.nodes.select("tree", "node").collect()
+    assert len(set(ids)) == len(ids)
+    linked = deep.nodes.filter("attr >= 0").select("tree", F.explode(F.array("left", "right")).alias("node"))
+    assert sorted(map(tuple, linked.collect())) == sorted((r.tree, r.node) for r in deep.nodes.filter("depth > 0").collect())
+    # the first levels do not depend on the numbers below them
+    flat = lambda m: sorted(tuple(r) for r in m.nodes.filter("depth <= 1").select("tree", "node", "attr", "split", "n_rows").collect())
+    assert flat(usual) == flat(deep)
+    monkeypatch.setattr(model, "PACKED_NODES", 0)
+    joined = sorted((r.instance_id, r.prediction) for r in deep.classify(frame).collect())
+    monkeypatch.setattr(model, "PACKED_NODES", 1000)
+    assert sorted((r.instance_id, r.prediction) for r in deep.classify(frame).collect()) == joined
+
+
 def test_save_load_and_describe(spark, tied, tmp_path):
     _, frame = tied
     fitted, _ = model.fit(frame, ForestParams(trees=2, max_depth=2, criterion="gini"), ["a", "b", "c", "d"])
@@ -155,7 +178,7 @@ def test_params():
     assert wide.trees == 100 and wide.tree_features == min(400, max(101, int(500**0.6) + 60))
     assert resolve(ForestParams(criterion="gini", dropout_interactions=True, trees=10), 2).tree_features == 1
     assert from_options([]).trees == 10
-    for p in (ForestParams(), ForestParams(trees=7, features=3, seed=9, max_depth=4, bag_percent=55, criterion="gini", importances=True, tree_features=8, interactions=True, dropout_interactions=True), ForestParams(out_of_bag=True)):
+    for p in (ForestParams(), ForestParams(trees=7, features=3, seed=9, max_depth=4, bag_percent=55, criterion="gini", importances=True, tree_features=8, interactions=True, dropout_interactions=True), ForestParams(out_of_bag=True), ForestParams(class_change=False, ranged=False)):
         assert from_options(to_options(p)) == p
     with pytest.raises(ValueError):
         ForestParams(out_of_bag=True, bag_percent=50)
@@ -170,6 +193,21 @@ def test_scalar_functions(spark):
     assert got[0].f == 0.0 and got[5].f == pytest.approx(2.0)
 
 
+def test_ranks_and_sums_by_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3) if i % 9 else None, float(rng.randrange(50)), rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k int, x double, v long").repartition(5)
+    got = {r.id: r["rank"] for r in ranking.rank_within(df, "k", ["x", "id"]).collect()}
+    for key in (None, 0, 1, 2):
+        order = sorted((x, i) for i, k, x, _ in rows if k == key)
+        assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
+    sums = df.groupBy("k", "x").agg(F.sum("v").alias("v"))
+    for r in ranking.sums_before(sums, ["k"], "x", "v", "s").collect():
+        assert r.s == sum(v for _, k, x, v in rows if k == r.k and x < r.x)
+    for r in ranking.sums_before(df.groupBy("x").agg(F.sum("v").alias("v")), [], "x", "v", "s").collect():
+        assert r.s == sum(v for _, _, x, v in rows if x < r.x)
+
+
 def test_global_rank_and_permutation(spark):
     df = spark.range(1000).withColumn("x", (F.col("id") * 37) % 101)
     got = ranking.global_rank(df, ["x", "id"]).orderBy("rank").collect()

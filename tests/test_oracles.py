@@ -9,7 +9,6 @@ import pytest
 from arbora.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"interaction_permutation", "attribute_ranking"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_its_oracle(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     want = duck.execute(catalog.oracle_sql()[name])

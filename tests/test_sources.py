@@ -2,6 +2,8 @@
 
 import gzip
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from arbora import __main__ as cli
@@ -68,6 +70,25 @@ def test_fit_and_score_from_the_command_line(spark, tmp_path, capsys):
     assert cli.main([]) == 2
 
 
+def test_nominal_classes_of_csv_files(spark, tmp_path, capsys):
+    (tmp_path / "d").mkdir()
+    lines = ["a,b,y"] + [f"{i % 7},{i % 3},{'yes' if i % 7 > 3 else 'no'}" for i in range(60)] + ["1,1,"]
+    (tmp_path / "d" / "x.csv").write_text("\n".join(lines) + "\n")
+    path = f"file://{tmp_path}/d/x.csv"
+    assert cli.main(["fit", path, f"file://{tmp_path}/m", "-I", "3", "-depth", "2", "-O", "-import", "-criterion", "gini"]) == 0
+    said = capsys.readouterr().out
+    assert "Out-of-bag error: not measured" not in said and "Importance of a:" in said
+    assert cli.main(["score", path, f"file://{tmp_path}/m", f"file://{tmp_path}/s"]) == 0
+    scored = spark.read.parquet(f"file://{tmp_path}/s")
+    assert {r["class"] for r in scored.collect()} == {"no", "yes"} and scored.filter("prediction = label").count() >= 55
+    assert cli.main(["bench", f"file://{tmp_path}/d", ".csv", f"file://{tmp_path}/r", "-I", "2", "-depth", "1", "-runs", "2", "-folds", "2", "-noRanges"]) == 0
+    assert "speed_up" in capsys.readouterr().out
+    assert spark.read.csv(f"file://{tmp_path}/r", header=True).count() == 4
+    assert cli.main(["cite"]) == 0 and "Random Forests" in capsys.readouterr().out
+    with pytest.raises(TypeError, match="not a number"):
+        features.instances(spark.createDataFrame([(1.0, "yes")], "x double, y string"))
+
+
 def test_stream_scoring_equals_batch(spark, tmp_path):
     rows = spark.range(40).select(F.col("id").alias("instance_id"), F.array((F.col("id") % 5).cast("float"), (F.col("id") % 2).cast("float")).alias("features"), (F.col("id") % 5 > 2).cast("int").alias("label"), F.lit(1.0).alias("weight"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
     rows.write.parquet(f"file://{tmp_path}/in")
