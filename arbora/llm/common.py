@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a narrow id column (16 bytes or less a row) that a join may broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Texts that go to a Python worker at once.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +45,12 @@ def settled(docs: DataFrame) -> DataFrame:
     Row numbers are monotonically_increasing_id of the input, which several
     scans must agree on. Plans of scans, projections and filters do, as long
     as files are split alike: so the least number of splits, which follows the
-    number of live executors by default, is fixed here for the session.
+    number of live executors by default, is fixed here for the session, as is
+    the size of the batches that go to Python.
     """
     spark = docs.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: whole texts want smaller batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     plan = docs._jdf.queryExecution().optimizedPlan()
@@ -152,11 +157,11 @@ def lowered(separators: str) -> np.ndarray:
 SPACES = lowered("\t\n\x0b\x0c\r ")
 
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 21
 
 
-def slices(texts: pa.Array):
-    """(first row, bytes, offsets) over the texts of an Arrow batch, about SLICE bytes at a time; null counts as empty."""
+def slices(texts: pa.Array, most: int = SLICE):
+    """(first row, bytes, offsets) over the texts of an Arrow batch, about `most` bytes at a time; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -167,7 +172,7 @@ def slices(texts: pa.Array):
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

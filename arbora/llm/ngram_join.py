@@ -42,6 +42,8 @@ from arbora.llm.common import SPACES, components, fits_broadcast, mix, settled,
 
 #: Sets that a task remembers to have published; it then starts afresh, which only repeats keys.
 SEEN = 200_000
+#: Bytes of text whose words are hashed at once.
+HASHED = 1 << 19
 #: Words of the parity sketch.
 WORDS = 8
 _PARITY = [f"p{i}" for i in range(WORDS)]
@@ -104,7 +106,7 @@ def _parity(h: np.ndarray) -> list[int]:
 
 def _sets(texts, width: int):
     """The shingle set of each text of an Arrow array, in order."""
-    for _, data, offsets in slices(texts):
+    for _, data, offsets in slices(texts, HASHED):
         words, bounds = word_hashes(data, offsets, SPACES)
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             yield shingle_set(words[s:e], width)
