@@ -180,7 +180,7 @@ def slices(texts: pa.Array, most: int = SLICE):
 
 #: Random words of each byte at the first places of a word.
 _PLACES = 64
-_BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(_PLACES, 256)
+_BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,17 +202,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple
     lasts = offsets[1:][offsets[1:] > 0] - 1
     ends[lasts] = inside[lasts]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    at = np.flatnonzero(inside)
-    own = d[at]
-    first = np.concatenate([[0], np.cumsum(e - s)])  # of each word among the bytes of words
-    place = at - np.repeat(s, e - s)
-    far = place >= _PLACES
-    value = _BYTES[np.where(far, 0, place), own]
-    if far.any():
-        value[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + own[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    total = np.zeros(len(at) + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    hashes = mix(total[first[1:]] - total[first[:-1]] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    place = np.arange(len(d), dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(starts, place, np.int32(0)))  # of each byte in its word
+    far = np.flatnonzero(inside & (place >= _PLACES))
+    value = np.where(inside, _BYTES.take((np.minimum(place, _PLACES - 1) << 8) | d), np.uint64(0))
+    if len(far):
+        value[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + d[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    np.cumsum(value, out=value)
+    before = np.where(s > 0, value[s - 1], np.uint64(0))
+    hashes = mix(value[e - 1] - before + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashes, np.searchsorted(s, offsets).astype(np.int64)
 
 

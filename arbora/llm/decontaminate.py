@@ -14,7 +14,8 @@ documents for each block; with one block (the usual case) there is no shuffle
 at all, and with more only the hits are merged by row.
 
 Defined cases: null texts and texts without words have no words and no hits;
-items without words are no patterns; equal windows of several items count for
+items without words are no patterns; a null item id counts as the empty one;
+equal windows of several items count for
 each of them; repeated documents are judged row by row; an empty benchmark
 leaves every document clean; further columns are ignored.
 """

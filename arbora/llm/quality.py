@@ -22,6 +22,8 @@ A document's surprise is its cross entropy above the trusted median of its
 language, damped for short texts by sqrt(n / (n + DAMP)). The limit of a
 language is SLACK times (1: no more than) the QUANTILE of the surprise of its trusted documents
 (of all languages' where a language has fewer than LEAST trusted documents).
+Medians and quantiles are exact but for being rounded up to a grid of 1 / GRID,
+from counts by value.
 The same is done with the cross entropy a symbol of the spelling alone.
 Documents above either limit are rejected.
 
@@ -38,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import filtered_by, mix, settled, slices, table, without, word_hashes, written
@@ -57,6 +59,8 @@ QUANTILE = 0.995
 SLACK = 1.0
 DAMP = 200
 LEAST = 50
+#: Steps of a nat in which quantiles are taken.
+GRID = 10_000
 
 
 def _alphabet() -> np.ndarray:
@@ -338,7 +342,7 @@ def perplexities(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text
     def base(batches):
         for batch in batches:
             n, m, cost, letter = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
-            for _, data, offsets in slices(batch.column(3)):
+            for _, data, offsets in slices(batch.column(3), 1 << 19):
                 lead = np.concatenate([[0], np.cumsum((data < 0x80) | (data >= 0xC0))])
                 n.append(np.diff(lead[offsets]))
                 data, offsets, hashes, bounds, starts, ends = _words(data, offsets)
@@ -413,6 +417,22 @@ def perplexities(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text
     return bases.join(joined, "row", "left").select("row", "id", "lang", "n", entropy.alias("entropy"), F.when(F.col("n") > 0, -F.col("letters")).alias("letters"))
 
 
+def quantiles(rows: DataFrame, measures: dict[str, Column], q: float) -> DataFrame:
+    """(lang, known, a column a measure): the least values that a share q of a language's rows do not exceed, on the grid; lang null: of all rows.
+
+    Rows are counted by value first, so the order is one of grid values, and
+    the result does not depend on how rows lie in partitions.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.ceil(c * GRID).cast("long").alias("v")) for m, c in measures.items()])).alias("x")
+    counts = rows.select(F.explode(F.array("lang", F.lit(None))).alias("lang"), each).filter("x.v is not null").groupBy("lang", "x.measure", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("lang", "measure")
+    ranked = counts.withColumn("below", F.sum("c").over(w.orderBy("v"))).withColumn("known", F.sum("c").over(w))
+    at = F.min(F.when(F.col("below") >= F.col("known") * q, F.col("v"))) / float(GRID)
+    found = ranked.groupBy("lang", "measure").agg(at.alias("at"), F.max("known").alias("known"))
+    value = lambda m: F.max(F.when(F.col("measure") == m, F.col("at"))).alias(m)
+    return written(found.groupBy("lang").agg(F.max("known").alias("known"), *[value(m) for m in measures]), "quantiles")
+
+
 def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, damp: int = DAMP, least: int = LEAST) -> DataFrame:
     """Per row of docs: row, id, lang, n, perplexity, surprise, surprise_limit, letters_surprise, letters_limit, kept.
 
@@ -429,17 +449,18 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     scores = reduce(DataFrame.unionByName, parts)
     known = scores.join(trusted, "id", "left_semi").filter("entropy is not null")
     damping = F.sqrt(F.col("n") / (F.col("n") + damp))
-    middle = [F.expr(f"percentile_approx({m}, 0.5, 10000)").alias(f"{m}_median") for m in MEASURES]
-    overall = known.agg(*middle).first()
-    medians = written(known.groupBy("lang").agg(*middle, F.count(F.lit(1)).alias("known")).filter(F.col("known") >= least).drop("known"), "medians")
-    surprise = {f"{m}_surprise": (F.col(m) - F.coalesce(f"{m}_median", F.lit(overall[i]).cast("double"))) * damping for i, m in enumerate(MEASURES)}
-    of_known = known.join(medians, "lang", "left").withColumns(surprise)
-    top = [(F.expr(f"percentile_approx({m}_surprise, {quantile}, 10000)") * slack).alias(f"{m}_limit") for m in MEASURES]
-    limits = of_known.filter("entropy_median is not null").groupBy("lang").agg(*top)
-    general = of_known.agg(*top).first()
+    middle = quantiles(known, {m: F.col(m) for m in MEASURES}, 0.5)
+    overall = middle.filter("lang is null").first()
+    medians = middle.filter(F.col("lang").isNotNull() & (F.col("known") >= least)).select("lang", *[F.col(m).alias(f"{m}_median") for m in MEASURES])
+    medians = written(medians, "medians")
+    surprise = {f"{m}_surprise": (F.col(m) - F.coalesce(f"{m}_median", F.lit(overall[m] if overall else None).cast("double"))) * damping for m in MEASURES}
+    of_known = known.join(F.broadcast(medians), "lang", "left").withColumns(surprise)  # a row a language
+    top = quantiles(of_known, {m: F.col(f"{m}_surprise") for m in MEASURES}, quantile)
+    general = top.filter("lang is null").first()
+    limits = top.select("lang", *[(F.col(m) * slack).alias(f"{m}_limit") for m in MEASURES])
     limits = written(medians.join(limits, "lang", "left"), "limits")
     found = scores.join(limits, "lang", "left").withColumns(surprise)
-    found = found.withColumns({f"{m}_limit": F.coalesce(f"{m}_limit", F.lit(general[i]).cast("double")) for i, m in enumerate(MEASURES)})
+    found = found.withColumns({f"{m}_limit": F.coalesce(f"{m}_limit", F.lit(general[m] * slack if general and general[m] is not None else None).cast("double")) for m in MEASURES})
     kept = reduce(Column.__and__, [F.coalesce(F.col(f"{m}_surprise") <= F.col(f"{m}_limit"), F.lit(True)) for m in MEASURES])
     return found.select("row", "id", "lang", "n", F.exp("entropy").alias("perplexity"), F.col("entropy_surprise").alias("surprise"), F.col("entropy_limit").alias("surprise_limit"), "letters_surprise", "letters_limit", kept.alias("kept"))
 
