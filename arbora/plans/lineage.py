@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed: stored in spark.checkpoint.dir.
 
-    Where that is unset, a single-machine session uses a folder in its
-    warehouse; a cluster must name one.
+    Where that is unset, a session on one machine (local master) uses a
+    temporary folder; a cluster must name one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -17,5 +19,5 @@ def cut(df: DataFrame) -> DataFrame:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        sc.setCheckpointDir(found or f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint()
