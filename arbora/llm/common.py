@@ -4,6 +4,7 @@ joins, connected components and vectorised word hashing."""
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -24,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Where that is unset, a single-machine session uses a folder in its
-    warehouse; a cluster must name one.
+    Where that is unset, a session on one machine (local master) uses a
+    temporary folder; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        found = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
