@@ -615,7 +615,7 @@ def cv_forest(spark, sf_dir):
 def forest_fit_score(spark, sf_dir):
     """A gini forest on embeddings (8 trees, depth 4, 55 % bags), scored by row."""
     frame = fx.vectors_frame(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("int"))
-    fitted, _ = model.fit(frame, ForestParams(trees=8, features=5, seed=42, max_depth=4, bag_percent=55, criterion="gini"))
+    fitted, _ = model.fit(frame, ForestParams(trees=8, features=5, seed=42, max_depth=4, bag_percent=55, criterion="gini", ranged=False))
     return fitted.classify(frame).select("instance_id", F.round(F.get("distribution", F.lit(1)), 9).alias("p1"), "prediction")
 
 
