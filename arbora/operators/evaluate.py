@@ -13,37 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.vectors import argmax
-from arbora.operators.model import tree_votes
+from arbora.operators.model import tree_votes, vote_sum
 from arbora.plans.lineage import cut
-from arbora.operators.ranking import scrambled, slots_of, stratified_folds, sums_before
+from arbora.operators.ranking import scrambled_values, stratified_folds, sums_before
 
 
-#: Most rows of a table of trees and attributes that is broadcast.
+#: Most pairs of a tree and an attribute that are broadcast.
 BROADCAST_SIDES = 500_000
 
 
-def _sides(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is small: trees x attributes, or trees x pairs of them."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_SIDES else df
-
-
 def tree_scores(frame: DataFrame, nodes: DataFrame, classes: int, vector: str = "features") -> DataFrame:
     """(tree, instance_id, probs)."""
     voted = tree_votes(frame.select("instance_id", vector), nodes, vector, classes)
     return voted.select("instance_id", F.explode("votes").alias("v")).select(F.col("v.tree").alias("tree"), "instance_id", F.col("v.probs").alias("probs"))
 
 
-def _voted(frame: DataFrame, scores: DataFrame, classes: int, by: list[str] | None = None) -> DataFrame:
-    """(by.., instance_id, label, weight, vote): every row votes; without a score it votes class 0."""
-    by = by or []
-    sums = scores.groupBy(*by, "instance_id").agg(*[F.sum(F.get("probs", F.lit(k))).alias(f"s{k}") for k in range(classes)])
-    rows = frame.select("instance_id", "label", "weight")
-    if by:
-        rows = rows.join(F.broadcast(scores.select(*by).distinct()))  # as many as there are trees or attribute pairs
-    joined = rows.join(sums, [*by, "instance_id"], "left")
+def _voted(frame: DataFrame, scores: DataFrame, classes: int) -> DataFrame:
+    """(instance_id, label, weight, vote): every row votes; without a score it votes class 0."""
+    sums = scores.groupBy("instance_id").agg(*[F.sum(F.get("probs", F.lit(k))).alias(f"s{k}") for k in range(classes)])
+    joined = frame.select("instance_id", "label", "weight").join(sums, "instance_id", "left")
     vector = F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) for k in range(classes)])
-    return joined.select(*by, "instance_id", "label", "weight", argmax(vector).alias("vote"))
+    return joined.select("instance_id", "label", "weight", argmax(vector).alias("vote"))
 
 
 def oob_votes(frame: DataFrame, scores: DataFrame, bag: DataFrame, classes: int) -> DataFrame:
@@ -61,52 +51,97 @@ def oob_error(frame: DataFrame, scores: DataFrame, bag: DataFrame, classes: int)
     return error(oob_votes(frame, scores, bag, classes))
 
 
+def _movable(frame: DataFrame, bag: DataFrame, attributes: int, seed: int) -> DataFrame:
+    """(instance_id, label, weight, features, moved, inside): each attribute's scrambled values, and the trees whose bags hold the row; written."""
+    inside = bag.groupBy("instance_id").agg(F.collect_set("tree").alias("inside"))  # a tree a bag
+    rows = frame.select("instance_id", "label", "weight", "features").join(scrambled_values(frame, attributes, seed), "instance_id")
+    return cut(rows.join(inside, "instance_id", "left").withColumn("inside", F.coalesce("inside", F.array().cast("array<int>"))))
+
+
+def _moved_error(rows: DataFrame, nodes: DataFrame, classes: int, by: list[str]) -> DataFrame:
+    """(by.., error) out of bag, with the attributes that the columns `by` name scrambled. Rows of _movable, not shuffled."""
+
+    def value(x, i):
+        moved = F.lit(False)
+        for c in by:
+            moved = moved | (F.col(c) == i)
+        return F.when(moved, F.get("moved", i)).otherwise(x)
+
+    voted = tree_votes(rows.withColumn("features", F.transform("features", value)).drop("moved"), nodes, "features", classes)
+    outside = F.filter("votes", lambda v: ~F.array_contains("inside", v["tree"]))
+    return error(voted.select(*by, "label", "weight", argmax(vote_sum(outside, classes)).alias("vote")), by)
+
+
+def _base_and_single(rows: DataFrame, nodes: DataFrame, classes: int, attributes: int) -> tuple[DataFrame, DataFrame]:
+    """One row (base), and (attr, importance); written."""
+    base = cut(_moved_error(rows, nodes, classes, []).withColumnRenamed("error", "base"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attr"))
+    changed = _moved_error(each, nodes, classes, ["attr"])
+    return base, cut(changed.join(F.broadcast(base)).select("attr", (F.col("error") - F.col("base")).alias("importance")))
+
+
 def permutation_importance(frame: DataFrame, nodes: DataFrame, bag: DataFrame, classes: int, attributes: int, seed: int) -> DataFrame:
-    """(attr, importance): out-of-bag error with a scrambled column less the error without."""
-    base = oob_error(frame, tree_scores(frame, nodes, classes), bag, classes).withColumnRenamed("error", "base")
-    found, slots = None, slots_of(frame)
-    for attr in range(attributes):
-        changed = oob_error(frame, tree_scores(scrambled(frame, attr, seed, slots), nodes, classes), bag, classes).select(F.lit(attr).alias("attr"), "error")
-        found = changed if found is None else found.unionByName(changed)
-    return found.join(F.broadcast(base)).select("attr", (F.col("error") - F.col("base")).alias("importance"))
+    """(attr, importance): out-of-bag error with a scrambled column less the error without.
 
+    All columns are scrambled by one sort, and all attributes are scored in one
+    pass: a row is repeated for each of them within its task.
+    """
+    return _base_and_single(_movable(frame, bag, attributes, seed), nodes, classes, attributes)[1]
 
-def dropout_importance(frame: DataFrame, scores: DataFrame, bag: DataFrame, subset: DataFrame, classes: int, attributes: int) -> DataFrame:
-    """(attr, importance): error of the trees without an attribute less that of the trees with it."""
-    outside = scores.join(bag.select("tree", "instance_id"), ["tree", "instance_id"], "left_anti")
-    trees = scores.select("tree").distinct()
-    sides = trees.select("tree", F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attr")).join(subset.withColumn("has", F.lit(1)), ["tree", "attr"], "left").withColumn("has", F.coalesce("has", F.lit(0)))
-    votes = _voted(frame, outside.join(_sides(sides), "tree"), classes, ["attr", "has"])
-    errors = error(votes, ["attr", "has"])
-    return errors.groupBy("attr").agg((F.max(F.when(F.col("has") == 0, F.col("error"))) - F.max(F.when(F.col("has") == 1, F.col("error")))).alias("importance"))
+
+def _pairs(attributes: int) -> Column:
+    """Explodes to structs (attr_i, attr_j) of all pairs of two attributes or more."""
+    after = lambda i: F.transform(F.sequence(i + 1, F.lit(attributes - 1)), lambda j: F.struct(i.alias("attr_i"), j.alias("attr_j")))
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(attributes - 2)), after)))
 
 
 def permutation_interaction(frame: DataFrame, nodes: DataFrame, bag: DataFrame, classes: int, attributes: int, seed: int) -> DataFrame:
     """(attr_i, attr_j, interaction): joint loss of two scrambled columns less their single losses."""
-    single = permutation_importance(frame, nodes, bag, classes, attributes, seed)
-    base = oob_error(frame, tree_scores(frame, nodes, classes), bag, classes).withColumnRenamed("error", "base")
-    found, slots = None, slots_of(frame)
-    for i in range(attributes):
-        one_moved = cut(scrambled(frame, i, seed, slots)) if i + 1 < attributes else frame
-        for j in range(i + 1, attributes):
-            both = scrambled(one_moved, j, seed, slots)
-            changed = oob_error(frame, tree_scores(both, nodes, classes), bag, classes).select(F.lit(i).alias("attr_i"), F.lit(j).alias("attr_j"), "error")
-            found = changed if found is None else found.unionByName(changed)
+    rows = _movable(frame, bag, attributes, seed)
+    base, single = _base_and_single(rows, nodes, classes, attributes)
+    found = _moved_error(rows.select("*", _pairs(attributes).alias("p")).select("*", "p.*").drop("p"), nodes, classes, ["attr_i", "attr_j"])
     one = lambda c, x: single.select(F.col("attr").alias(c), F.col("importance").alias(x))
     return found.join(F.broadcast(base)).join(one("attr_i", "x"), "attr_i").join(one("attr_j", "y"), "attr_j").select("attr_i", "attr_j", (F.col("error") - F.col("base") - F.col("x") - F.col("y")).alias("interaction"))
 
 
+def _known_votes(frame: DataFrame, scores: DataFrame, bag: DataFrame, subset: DataFrame, attributes: int) -> DataFrame:
+    """(label, weight, votes): a row's out-of-bag votes as structs (probs, knows), knows telling by attribute whether the tree has it."""
+    outside = scores.join(bag.select("tree", "instance_id"), ["tree", "instance_id"], "left_anti")
+    has = lambda attrs: F.transform(F.sequence(F.lit(0), F.lit(attributes - 1)), lambda a: F.array_contains(attrs, a))
+    known = cut(subset.groupBy("tree").agg(F.collect_set(F.col("attr").cast("int")).alias("attrs")).select("tree", has(F.col("attrs")).alias("knows")))
+    nothing = F.array_repeat(F.lit(False), attributes)
+    small = known.count() * attributes <= BROADCAST_SIDES
+    if not small:
+        outside = outside.join(known, "tree", "left")
+    parts = ["tree", "probs"] if small else ["tree", "probs", "knows"]
+    votes = outside.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("votes"))  # a vote a tree
+    kind = "array<struct<tree:int,probs:array<double>" + ("" if small else ",knows:array<boolean>") + ">>"
+    rows = frame.select("instance_id", "label", "weight").join(votes, "instance_id", "left").withColumn("votes", F.coalesce(F.col("votes").cast(kind), F.array().cast(kind)))
+    if small:
+        rows = rows.join(F.broadcast(known.agg(F.map_from_entries(F.collect_list(F.struct("tree", "knows"))).alias("of"))))  # one row of a checked size
+    knows = lambda v: F.coalesce(F.try_element_at("of", v["tree"]) if small else v["knows"], nothing)
+    return cut(rows.select("label", "weight", F.transform("votes", lambda v: F.struct(v["probs"].alias("probs"), knows(v).alias("knows"))).alias("votes")))
+
+
+def _error_of(votes: Column, classes: int) -> Column:
+    """Aggregate: the error of some of each row's votes; null where no row has any of them."""
+    wrong = F.sum(F.when(argmax(vote_sum(votes, classes)) != F.col("label"), F.col("weight")).otherwise(0.0))
+    return F.when(F.sum(F.size(votes)) > 0, F.try_divide(wrong, F.sum("weight")))
+
+
+def dropout_importance(frame: DataFrame, scores: DataFrame, bag: DataFrame, subset: DataFrame, classes: int, attributes: int) -> DataFrame:
+    """(attr, importance): error of the trees without an attribute less that of the trees with it."""
+    rows = _known_votes(frame, scores, bag, subset, attributes).select("*", F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attr"))
+    e = lambda has: _error_of(F.filter("votes", lambda v: F.get(v["knows"], F.col("attr")) == has), classes)
+    return rows.groupBy("attr").agg((e(False) - e(True)).alias("importance"))
+
+
 def dropout_interaction(frame: DataFrame, scores: DataFrame, bag: DataFrame, subset: DataFrame, classes: int, attributes: int) -> DataFrame:
     """(attr_i, attr_j, interaction): trees by whether they know both, one or none of two attributes."""
-    outside = scores.join(bag.select("tree", "instance_id"), ["tree", "instance_id"], "left_anti")
-    known = scores.select("tree").distinct().join(subset.groupBy("tree").agg(F.collect_set("attr").alias("attrs")), "tree", "left")
-    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(attributes - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(attributes - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    has = lambda c: F.array_contains(F.coalesce("attrs", F.array().cast("array<int>")), F.col(c)).cast("int")
-    sides = known.select("tree", "attrs", pairs.alias("p")).select("tree", "attrs", F.col("p.i").alias("attr_i"), F.col("p.j").alias("attr_j")).select("tree", "attr_i", "attr_j", has("attr_i").alias("has_i"), has("attr_j").alias("has_j"))
-    by = ["attr_i", "attr_j", "has_i", "has_j"]
-    errors = error(_voted(frame, outside.join(_sides(sides), "tree"), classes, by), by)
-    e = lambda i, j: F.max(F.when((F.col("has_i") == i) & (F.col("has_j") == j), F.col("error")))
-    return errors.groupBy("attr_i", "attr_j").agg(((e(0, 0) - e(1, 1)) - (e(0, 0) - e(1, 0)) - (e(0, 0) - e(0, 1))).alias("interaction"))
+    rows = _known_votes(frame, scores, bag, subset, attributes).select("*", _pairs(attributes).alias("p")).select("label", "weight", "votes", "p.*")
+    e = lambda i, j: _error_of(F.filter("votes", lambda v: (F.get(v["knows"], F.col("attr_i")) == i) & (F.get(v["knows"], F.col("attr_j")) == j)), classes)
+    errors = rows.groupBy("attr_i", "attr_j").agg(e(False, False).alias("e00"), e(True, True).alias("e11"), e(True, False).alias("e10"), e(False, True).alias("e01"))
+    return errors.select("attr_i", "attr_j", F.expr("(e00 - e11) - (e00 - e10) - (e00 - e01)").alias("interaction"))
 
 
 def attribute_ranking(importances: DataFrame) -> DataFrame:

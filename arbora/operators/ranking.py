@@ -70,6 +70,16 @@ def scrambled(frame: DataFrame, attr: int, seed: int, slots: DataFrame | None =
     return frame.join(moved, "instance_id").withColumn("features", value).drop("new_value")
 
 
+def scrambled_values(frame: DataFrame, attributes: int, seed: int) -> DataFrame:
+    """(instance_id, moved): the value that `scrambled` puts into the row for each attribute; one sort serves all of them."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attr")
+    long = frame.select("instance_id", "features", each).select("instance_id", "attr", F.get("features", F.col("attr")).alias("v"))
+    drawn = long.withColumn("h", hashed("scramble", seed, F.col("attr"), F.col("instance_id")))
+    source = rank_within(drawn, "attr", ["h", "instance_id"], "slot").select("attr", "slot", "v")
+    moved = source.join(slots_of(frame), "slot").groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("attr", "v"))).alias("m"))  # a value an attribute
+    return moved.select("instance_id", F.col("m.v").alias("moved"))
+
+
 def stratified_folds(frame: DataFrame, folds: int, seed: int) -> DataFrame:
     """(instance_id, label, fold): rows dealt out in hash order within each class."""
     rows = frame.select("instance_id", "label", hashed("fold", seed, F.col("instance_id")).alias("_h"))
