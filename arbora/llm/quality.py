@@ -61,6 +61,8 @@ DAMP = 200
 LEAST = 50
 #: Steps of a nat in which quantiles are taken.
 GRID = 10_000
+#: Steps that are first counted together.
+CELL = 100
 
 
 def _alphabet() -> np.ndarray:
@@ -420,15 +422,23 @@ def perplexities(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text
 def quantiles(rows: DataFrame, measures: dict[str, Column], q: float) -> DataFrame:
     """(lang, known, a column a measure): the least values that a share q of a language's rows do not exceed, on the grid; lang null: of all rows.
 
-    Rows are counted by value first, so the order is one of grid values, and
-    the result does not depend on how rows lie in partitions.
+    Rows are counted by value first, and the result does not depend on how they
+    lie in partitions. Only cells of CELL values and then one cell's values are
+    ordered.
     """
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.ceil(c * GRID).cast("long").alias("v")) for m, c in measures.items()])).alias("x")
     counts = rows.select(F.explode(F.array("lang", F.lit(None))).alias("lang"), each).filter("x.v is not null").groupBy("lang", "x.measure", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("cell", F.floor(F.col("v") / CELL))
     w = Window.partitionBy("lang", "measure")
-    ranked = counts.withColumn("below", F.sum("c").over(w.orderBy("v"))).withColumn("known", F.sum("c").over(w))
+    # the cell in which the share is reached, and then the value in it
+    cells = counts.groupBy("lang", "measure", "cell").agg(F.sum("c").alias("c"))
+    cells = cells.withColumn("upto", F.sum("c").over(w.orderBy("cell"))).withColumn("known", F.sum("c").over(w))
+    reached = cells.filter(F.col("upto") >= F.col("known") * q).groupBy("lang", "measure").agg(F.min(F.struct("cell", F.col("known"), (F.col("upto") - F.col("c")).alias("before"))).alias("at"))
+    reached = reached.select(F.col("lang").alias("of_lang"), F.col("measure").alias("of_measure"), "at.*").withColumnRenamed("cell", "of_cell")
+    meets = F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure")) & (F.col("cell") == F.col("of_cell"))
+    inner = counts.join(reached, meets).withColumn("below", F.col("before") + F.sum("c").over(w.orderBy("v")))
     at = F.min(F.when(F.col("below") >= F.col("known") * q, F.col("v"))) / float(GRID)
-    found = ranked.groupBy("lang", "measure").agg(at.alias("at"), F.max("known").alias("known"))
+    found = inner.groupBy("lang", "measure").agg(at.alias("at"), F.max("known").alias("known"))
     value = lambda m: F.max(F.when(F.col("measure") == m, F.col("at"))).alias(m)
     return written(found.groupBy("lang").agg(F.max("known").alias("known"), *[value(m) for m in measures]), "quantiles")
 
